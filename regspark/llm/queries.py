@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination, contamination_digest
 from .packing import pack_sequences
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -26,7 +31,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_token_counts, op9_decontamination, op10_packing)
+    for f in (op2_simhash, op4_token_counts, op9_decontamination, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
