@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination, contamination_digest
 from .packing import pack_sequences
+from .quality_model import quality_scores
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 
@@ -21,6 +22,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -31,7 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op4_token_counts, op9_decontamination, op10_packing)
+    for f in (op2_simhash, op4_token_counts, op8_quality_classifier, op9_decontamination, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
