@@ -13,6 +13,7 @@ from . import quality_rules as rules
 from .quality_model import quality_scores
 from .simhash import near_duplicates
 from .token_counts import count_tokens
+from .url_filter import url_verdicts
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op4_token_counts, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
+    for f in (op2_simhash, op4_token_counts, op5_url_filters, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.SQL}
