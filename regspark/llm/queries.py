@@ -12,6 +12,7 @@ from .packing import pack_sequences
 from . import quality_rules as rules
 from .quality_model import quality_scores
 from .simhash import near_duplicates
+from .substring_dedup import cut_repeats
 from .token_counts import count_tokens
 from .url_filter import url_verdicts
 
@@ -28,6 +29,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op4_token_counts, op5_url_filters, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
+    for f in (op2_simhash, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.SQL}
