@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contamination, contamination_digest
+from .licenses import license_scan
 from .packing import pack_sequences
 from . import quality_rules as rules
 from .quality_model import quality_scores
@@ -17,6 +18,10 @@ from .token_counts import count_tokens
 from .url_filter import url_verdicts
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
+    for f in (op1_license_scan, op2_simhash, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.SQL}
