@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over `documents`, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written and read again as the next one's input.
+
+All stages but the last return the columns of documents.  A stage only acts on
+what its predecessor kept.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from regspark.llm.common import table, written
 from regspark.llm.decontaminate import decontaminated
 from regspark.llm.packing import pack_sequences
+from regspark.llm.pii import pseudonyms
+from regspark.llm.quality_model import accepted
+from regspark.llm.simhash import one_of_each
+
+
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    return one_of_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +31,21 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put surrogates for personal data."""
+    return pseudonyms(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into training sequences, one row per piece."""
     return pack_sequences(docs)
 
 
 STAGES = [
+    ("quality classifier", reject_poor),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", remove_benchmark),
+    ("PII surrogates", replace_personal_data),
     ("packing", pack),
 ]
 

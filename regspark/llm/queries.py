@@ -11,6 +11,7 @@ from .decontaminate import contamination, contamination_digest
 from .licenses import license_scan
 from .packing import pack_sequences
 from . import quality_rules as rules
+from .pii import pseudonyms
 from .quality_model import quality_scores
 from .simhash import near_duplicates
 from .substring_dedup import cut_repeats
@@ -26,6 +27,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_simhash, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
+    for f in (op1_license_scan, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.SQL}
