@@ -53,7 +53,7 @@ LIKELY, CONFIRMED = 0.5, 0.6
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, nth, paragraph) for the lines of a text that have a word; numbered among all lines."""
-    lines = docs.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")).alias("nth", "paragraph"))
+    lines = docs.select(F.col(key), F.posexplode_outer(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")).alias("nth", "paragraph"))
     return lines.where(F.col("paragraph").rlike(r"[\p{L}\p{N}]"))
 
 
@@ -116,7 +116,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     grams = lines.select(key, "nth", F.xxhash64("paragraph").alias("same"), F.col("paragraph").rlike(NAMING).alias("names"), words().alias("words"))
     # an n-gram counts once in a paragraph, as in training
     grams = grams.select(key, "nth", "same", "names", F.array_distinct(ngrams()).alias("grams"))
-    each = grams.select(key, "nth", "same", "names", (F.size("grams") - 1).alias("total"), F.explode("grams").alias("gram"))
+    each = grams.select(key, "nth", "same", "names", (F.size("grams") - 1).alias("total"), F.explode_outer("grams").alias("gram"))  # an outer one: else the optimizer tests, and so computes, the array twice
     hits = each.join(F.broadcast(weights), "gram")  # at most MAX_FEATURES rows
     owners = [f for f, ts in TEMPLATES.items() for _ in ts]
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(families))] + [F.count_if(F.col("held")[i]).alias(f"t{i}") for i in range(len(owners))]

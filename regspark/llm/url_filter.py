@@ -94,7 +94,7 @@ def vocabulary(texts: DataFrame, text: str = "html") -> DataFrame:
     A single letter is a word only if it stands for itself often; it takes part like any other.
     """
     shown = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>|&\w+;", " ")
-    words = texts.select(F.explode(F.split(F.lower(shown), r"\P{L}+")).alias("word"))
+    words = texts.select(F.explode_outer(F.split(F.lower(shown), r"\P{L}+")).alias("word"))
     return words.where(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
