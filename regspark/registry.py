@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import chunk_queries, graph_queries, text_queries
+
+_AREAS = (chunk_queries, graph_queries, text_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for area in _AREAS for k, f in area.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for area in _AREAS for k, s in area.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
