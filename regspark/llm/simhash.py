@@ -103,10 +103,15 @@ class Links:
         return a, b
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; unsigned, as numpy counts the bits of absolute values."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def compare_large(x: np.ndarray, y: np.ndarray, radius: int, links: Links) -> None:
     step = max(1, PAIRS_AT_ONCE // max(1, len(y)))
     for at in range(0, len(x), step):
-        i, j = np.nonzero(np.bitwise_count(x[at : at + step, None] ^ y[None, :]) <= radius)
+        i, j = np.nonzero(distance(x[at : at + step, None], y[None, :]) <= radius)
         links.add(x[at + i], y[j])
 
 
@@ -124,7 +129,7 @@ def compare_batch(left: pa.ListArray, right: pa.ListArray, radius: int, links: L
         nth = np.arange(len(row)) - np.repeat(np.cumsum(pairs[group]) - pairs[group], pairs[group])
         i, j = np.divmod(nth, ny[row])
         a, b = x[bx[row] + i], y[by[row] + j]
-        near = np.bitwise_count(a ^ b) <= radius
+        near = distance(a, b) <= radius
         links.add(a[near], b[near])
 
 
