@@ -37,7 +37,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     return ranked(similarities(queries, corpus)).where(F.col("rank") <= k)
 
 
-def top_k_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, tables: int = 8, bucket: float = 0.6, radius: float = 1.2, seed: int = 7) -> DataFrame:
+def top_k_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, tables: int = 12, bucket: float = 2.0, radius: float = 1.42, seed: int = 7) -> DataFrame:
     """Approximate: random-projection buckets over unit vectors propose candidates, cosine ranks them."""
     unit = lambda df, c: df.withColumn("features", array_to_vector(vx.shortened(F.col(c), 1 << 20)))
     c, q = unit(corpus, "vec"), unit(queries, "query_vec")
