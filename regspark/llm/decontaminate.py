@@ -25,7 +25,7 @@ from .common import bounded_batches, empty_if_null, utf8_bytes
 
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 19
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Lower case for A-Z; a space for every ASCII byte that is no letter or digit; other bytes as they are.
 FOLD = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 0x20 for c in range(128)) + bytes(range(128, 256))
 
