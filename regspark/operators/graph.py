@@ -145,3 +145,28 @@ def expanded(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     citing = edges.where("type = 'CITES'")
     guidance = known.join(citing, known["ref"] == citing["dst"]).select("query_id", F.lit("guidance_citations").alias("kind"), "ref", F.lit("CITES").alias("type"), F.col("src").alias("from"), F.col("dst").alias("to"))
     return own.unionByName(other).unionByName(guidance).distinct()
+
+
+def matching_terms(terms: DataFrame, fragment: str) -> DataFrame:
+    """Definitions whose term has the fragment, whatever the case, by term."""
+    return terms.where(F.contains(F.lower("term"), F.lower(F.lit(fragment)))).orderBy("term", "source_id")
+
+
+def listed_terms(terms: DataFrame, source: str | None = None) -> DataFrame:
+    """All definitions by source and term, or those of one source by term."""
+    return terms.orderBy("source_id", "term") if source is None else terms.where(F.col("source_id") == source).orderBy("term")
+
+
+def labelled_nodes(nodes: DataFrame) -> DataFrame:
+    """Adds `kind` and `label` from the properties that a node has: article, term, description, title, else its id."""
+    has = lambda c: F.col(c).isNotNull() if c in nodes.columns else F.lit(False)
+    value = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
+    kind = F.when(has("article_label"), "Article").when(has("term"), "Definition").when(has("description"), "Obligation").when(has("title"), "Instrument").otherwise("Node")
+    label = F.coalesce(value("article_label"), value("term"), tx.truncated(value("description"), 40), value("title"), F.col("node_id"))
+    return nodes.withColumn("kind", kind).withColumn("label", label)
+
+
+def view_nodes(context: DataFrame, hits: DataFrame) -> DataFrame:
+    """Ids of the nodes of a context, and of hits that it does not have yet."""
+    around = context.select(F.col("from").alias("node_id")).unionByName(context.select(F.col("to").alias("node_id"))).distinct()
+    return around.unionByName(hits.select("node_id").distinct().join(around, "node_id", "left_anti"))

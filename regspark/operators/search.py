@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +60,11 @@ def recall(approximate: DataFrame, exact: DataFrame) -> float:
     """The share of exact hits that the approximate search found."""
     both = exact.select("query_id", "chunk_id").join(approximate.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").count()
     return both / max(1, exact.count())
+
+
+def embedded(df: DataFrame, text: str, dims: int = 256) -> DataFrame:
+    """Adds `vec`: hashed word counts, weighted by rarity over all rows, at length one; null texts are empty."""
+    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    steps = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dims), IDF(inputCol="_counts", outputCol="_rare"), Normalizer(inputCol="_rare", outputCol="_unit")]
+    made = Pipeline(stages=steps).fit(rows).transform(rows)
+    return made.withColumn("vec", vector_to_array("_unit")).drop("_text", "_words", "_counts", "_rare", "_unit")

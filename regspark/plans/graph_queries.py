@@ -196,3 +196,59 @@ def parse_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = d.select(F.concat(F.lit("doc"), "doc_id").alias("source_id"), F.lit("Article 1").alias("article_label"), F.concat(F.lit("doc"), "doc_id", F.lit(":Article 1")).alias("article_node_id"), response.alias("response"))
     return g.obligations(rows).select("node_id", F.md5("description").alias("description_md5"), "obligation_type", "subject")
+
+
+@query(_SQL + "SELECT DISTINCT source_id, ref, target FROM resolved WHERE target IS NOT NULL")
+def resolve_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph(spark, sf_dir)
+    rows = graph.chunks.select("source_id", F.explode_outer("cross_references").alias("ref")).where("ref is not null").distinct()
+    return g.resolved(rows, graph.nodes, graph.statutes).select("source_id", "ref", "target")
+
+
+_TERMS = r"""terms AS (SELECT DISTINCT 'doc' || doc_id AS source_id, regexp_replace(split_part(text, ' ', 1), '^\s+|\s+$', '', 'g') AS term FROM documents WHERE text IS NOT NULL)"""
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.text import strip
+
+    return view(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("doc"), "doc_id").alias("source_id"), strip(F.split_part("text", F.lit(" "), F.lit(1))).alias("term")).distinct()
+
+
+@query("WITH " + _TERMS + " SELECT source_id, term FROM terms WHERE contains(lower(term), lower('THE'))")
+def search_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.matching_terms(_terms(spark, sf_dir), "THE")
+
+
+@query("WITH " + _TERMS + " SELECT source_id, term, row_number() OVER (ORDER BY source_id, term) AS place FROM terms WHERE source_id = 'doc7'")
+def list_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    listed = g.listed_terms(_terms(spark, sf_dir), "doc7")
+    return listed.select("source_id", "term", F.row_number().over(Window.orderBy("source_id", "term")).cast("long").alias("place"))
+
+
+@query(_NODES + "SELECT node_id, 'Article' AS kind, article_label AS label FROM articles UNION ALL SELECT source_id, 'Instrument', title FROM legal")
+def node_type_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph(spark, sf_dir)
+    nodes = graph.nodes.select("node_id", "article_label").unionByName(graph.docs.select(F.col("source_id").alias("node_id"), "title"), allowMissingColumns=True)
+    return g.labelled_nodes(nodes).select("node_id", "kind", "label")
+
+
+@query(
+    with_(*GRAPH, _SEEDS, _CONTEXT)
+    + r"""SELECT DISTINCT id AS node_id FROM (SELECT "from" AS id FROM around WHERE seed IN (SELECT node_id FROM seeds) UNION SELECT "to" FROM around WHERE seed IN (SELECT node_id FROM seeds)
+    UNION SELECT source_id || ':' || article FROM chunks WHERE article IS NOT NULL AND chunk_index < 2)"""
+)
+def graph_view_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph(spark, sf_dir)
+    around = g.context_edges(_seeds(graph), graph.edges())
+    hits = graph.chunks.where("article is not null and chunk_index < 2").select(F.concat_ws(":", "source_id", "article").alias("node_id"))
+    return g.view_nodes(around, hits)
+
+
+@query(with_(LEGAL, SPANS, CHUNKS) + "SELECT source_id || '#' || chunk_index AS key, coalesce(article, '') AS article, coalesce(section, '') AS section FROM chunks")
+def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import upserted
+
+    rows = Graph(spark, sf_dir).chunks.select(F.concat_ws("#", "source_id", "chunk_index").alias("key"), F.coalesce("article", F.lit("")).alias("article"), F.coalesce("section", F.lit("")).alias("section"), F.lit(0).alias("v"))
+    return upserted(rows, rows.withColumn("v", F.lit(1)), ["key"], "v").select("key", "article", "section")

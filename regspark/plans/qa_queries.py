@@ -249,3 +249,53 @@ def table_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = view(spark, sf_dir, "orders").selectExpr("o_custkey AS source_id", "o_orderkey % 3 AS page", "o_orderkey AS table_id", "array(array(cast(o_orderkey as string), o_orderpriority, concat(' ', o_orderstatus, ' '))) AS cells")
     found = o.where("table_id % 2 = 0").selectExpr("source_id", "page", "array(array(cells[0][1], trim(cells[0][2]))) AS rows")
     return ev.table_recall(o, found)
+
+
+@query(
+    _HITS + """SELECT r.query_id, h.source_id, h.rank, CAST(arg_min(r.level, r.rule_order) AS INT) AS level FROM hits h,
+    (VALUES ('q1', 1, 2, 'Article [1-3]$'), ('q1', 2, 1, 'Article'), ('q2', 1, 1, 'Art[.] .*7')) r(query_id, rule_order, level, pattern) WHERE regexp_matches(coalesce(h.article, ''), r.pattern) GROUP BY ALL"""
+)
+def label_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("q1", 1, 2, None, "Article [1-3]$"), ("q1", 2, 1, None, "Article"), ("q2", 1, 1, None, "Art[.] .*7")], "query_id string, rule_order int, level int, rule_source string, pattern string")
+    c = _hits(spark, sf_dir).select("source_id", F.concat_ws("#", "source_id", "rank").alias("chunk_id"), F.coalesce("article", F.lit("")).alias("field_text"))
+    d = ev.relevance_levels(rules, c)
+    return d.select("query_id", F.split_part("chunk_id", F.lit("#"), F.lit(1)).alias("source_id"), F.split_part("chunk_id", F.lit("#"), F.lit(2)).cast("int").alias("rank"), "level")
+
+
+@query(
+    with_(LEGAL, _TRUTH) + """SELECT source_id, round(avg(CAST(contains(full_text, 'Article ' || n) OR contains(full_text, 'Art. ' || n) AS INT)), 4) AS structure, CAST(length(full_text) // greatest(1, len(string_split(full_text, chr(10)))) AS BIGINT) AS ms_per_page
+    FROM legal JOIN truth USING (source_id) GROUP BY source_id, full_text"""
+)
+def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = legal_docs(spark, sf_dir)
+    truth = d.select("source_id", F.explode(F.array(*(F.lit(str(n)) for n in range(1, 8)))).alias("n"))
+    pages = d.select("source_id", F.floor(F.length("full_text") / F.greatest(F.lit(1), F.size(F.split("full_text", "\n")))).alias("ms_per_page"))
+    return ev.named_share(d, truth, "n", "structure").select("source_id", F.round("structure", 4).alias("structure")).join(pages, "source_id")
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS qv, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
+    p AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS s FROM q, embeddings WHERE ql % 2 = 0 OR label IN (ql, ql - 1))
+    SELECT query_id, chunk_id, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM p) WHERE r <= 5"""
+)
+def retrieve_for_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = view(spark, sf_dir, "embeddings")
+    own = F.when(F.col("label") % 2 == 0, F.array().cast("array<int>")).otherwise(F.array("label", F.col("label") - 1))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), own.alias("labels"))
+    c = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
+    pairs = se.similarities(q, c).where(it.list_filter(F.col("labels"), F.col("label")))
+    return se.ranked(pairs).where("rank <= 5").select("query_id", "chunk_id", "rank")
+
+
+@query(
+    "SELECT conv_id, turn, CASE WHEN text = '' OR text IS NULL THEN 'insufficient_evidence' ELSE CASE WHEN " + " OR ".join(f"contains(lower(text), '{p}')" for p in tx.UNCERTAIN) + " THEN 'insufficient_evidence' ELSE 'sufficient' END END AS confidence FROM conversations WHERE role = 'assistant'"
+)
+def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.coalesce("text", F.lit("")) == ""
+    return view(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.when(empty | tx.says_any(F.col("text")), "insufficient_evidence").otherwise("sufficient").alias("confidence"))
+
+
+@query()
+def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = view(spark, sf_dir, "documents").select("doc_id", "text")
+    return se.embedded(d, "text").select("doc_id", F.size("vec").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
