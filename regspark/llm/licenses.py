@@ -47,7 +47,7 @@ NONE = "none"
 #: Words that name a licence; paragraphs with one are never examples of none.
 NAMING = r"(?i)licen[cs]|copyright|permission|rights|redistribut|creative commons|\bcc\b"
 MAX_FEATURES = 4096
-MAX_NEGATIVES = 4000
+SAMPLED, MAX_NEGATIVES = 1000, 4000
 LIKELY, CONFIRMED = 0.5, 0.6
 
 
@@ -68,33 +68,45 @@ def ngrams(w: str = "words") -> Column:
     return F.concat(F.col(w), pairs, F.array(F.lit("^")))
 
 
+def notices(spark: SparkSession) -> DataFrame:
+    """(template, family, words) of all templates, in their order."""
+    texts = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
+    listed = F.array(*(F.struct(F.lit(k).alias("template"), F.lit(f).alias("family"), F.lit(t).alias("paragraph")) for k, (f, t) in enumerate(texts)))
+    return spark.range(0, 1, 1, 1).select(F.explode(listed).alias("n")).select("n.*").select("template", "family", words().alias("words"))
+
+
 def training_rows(spark: SparkSession, sample: DataFrame) -> DataFrame:
     """(family, words): every notice whole and in windows of half its words, and what `sample` has as none."""
-    notices = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, paragraph string").select("family", words().alias("words"))
+    own = notices(spark).select("family", "words")
     half = "greatest(3, cast(ceil(size(words) / 2D) as int))"
-    windows = notices.select("family", F.explode(F.expr(f"transform(sequence(0, greatest(0, size(words) - {half})), i -> slice(words, i + 1, {half}))")).alias("words"))
+    windows = own.select("family", F.explode(F.expr(f"transform(sequence(0, greatest(0, size(words) - {half})), i -> slice(words, i + 1, {half}))")).alias("words"))
     none = sample.where(~F.col("paragraph").rlike(NAMING)).select(F.lit(NONE).alias("family"), F.slice(words(), 1, 40).alias("words"))
-    return notices.unionByName(notices).unionByName(notices).unionByName(windows).unionByName(none)
+    return own.unionByName(own).unionByName(own).unionByName(windows).unionByName(none)
 
 
-def trained_weights(spark: SparkSession, sample: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(gram, w): the weight of each n-gram for each family, in the order of the second result; '^' has the intercepts too."""
+def trained_weights(spark: SparkSession, sample: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """(gram, w): the weight of each n-gram for each family, in the order of the second result; '^' has the intercepts too.
+
+    The third result are the words that n-grams of the table consist of.
+    """
     families = sorted([*TEMPLATES, NONE])
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    rows = written(training_rows(spark, sample).select(ngrams().alias("grams"), label.alias("label"), F.when(F.col("family") == NONE, 0.1).otherwise(1.0).alias("weight")), "licences")
+    rows = written(training_rows(spark, sample).select(ngrams().alias("grams"), label.alias("label"), F.when(F.col("family") == NONE, 0.1).otherwise(1.0).alias("weight")).coalesce(1), "licences")  # a bounded table: one small task an iteration
     # the vocabulary comes from the notices: other words carry no evidence for a family
     space = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=MAX_FEATURES, binary=True).fit(rows.where(F.col("label") != families.index(NONE)))
     model = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.0005, maxIter=60).fit(space.transform(rows))
     matrix, start = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    notices = [(f, set(row.grams)) for f, row in zip([f for f, ts in TEMPLATES.items() for _ in ts], template_grams(spark), strict=True)]
-    table = [(gram, [float(x) for x in matrix[:, j] + (start if gram == "^" else 0)], [gram in grams for _, grams in notices]) for j, gram in enumerate(space.vocabulary)]
-    return written(spark.createDataFrame(table, "gram string, w array<double>, held array<boolean>"), "weights"), families
+    grams = [set(r.grams) for r in notices(spark).select("template", F.array_except(ngrams(), F.array(F.lit("^"))).alias("grams")).orderBy("template").collect()]
+    table = [(gram, [float(x) for x in matrix[:, j] + (start if gram == "^" else 0)], [gram in g for g in grams]) for j, gram in enumerate(space.vocabulary)]
+    parts = sorted({w for gram in space.vocabulary for w in gram.split(" ")} - {"^", "$"})
+    return written(spark.createDataFrame(table, "gram string, w array<double>, held array<boolean>").coalesce(1), "weights"), families, parts
 
 
-def template_grams(spark: SparkSession) -> list:
-    """The n-grams of each template, in the order of TEMPLATES."""
-    texts = [(k, t) for k, t in enumerate(t for ts in TEMPLATES.values() for t in ts)]
-    return spark.createDataFrame(texts, "k int, paragraph string").select("k", words().alias("words")).select("k", F.array_except(ngrams(), F.array(F.lit("^"))).alias("grams")).orderBy("k").collect()
+def known_ngrams(w: str, last: str) -> Column:
+    """Distinct n-grams of words of which unknown ones are null (`last`: how many there are), and the mark of the start."""
+    both = f"get({w}, i) is not null and (get({w}, i + 1) is not null or i + 1 = {last})"
+    pairs = F.expr(f"transform(sequence(0, greatest({last} - 1, 0)), i -> case when {both} then concat_ws(' ', get({w}, i), coalesce(get({w}, i + 1), '$')) end)")
+    return F.array_distinct(F.concat(F.array_compact(F.col(w)), F.array_compact(pairs), F.array(F.lit("^"))))
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,13 +122,16 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     spark = docs.sparkSession
     lines = paragraphs(docs, key, text)
-    # examples of none: paragraphs of up to 400 characters with the least hashes of their places, a bounded sample
-    sample = lines.where(F.length("paragraph") <= 400).orderBy(F.xxhash64(key, "nth"), "paragraph").limit(MAX_NEGATIVES).select("paragraph").distinct()
-    weights, families = trained_weights(spark, sample)
+    # examples of none: paragraphs of up to 400 characters of about SAMPLED documents picked by hash, a bounded sample
+    share = max(1, docs.count() // SAMPLED)
+    picked = paragraphs(docs.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0), key, text).where(F.length("paragraph") <= 400)
+    sample = picked.orderBy(F.xxhash64(key, "nth"), "paragraph").limit(MAX_NEGATIVES).select("paragraph").distinct()
+    weights, families, parts = trained_weights(spark, sample)
     grams = lines.select(key, "nth", F.xxhash64("paragraph").alias("same"), F.col("paragraph").rlike(NAMING).alias("names"), words().alias("words"))
-    # an n-gram counts once in a paragraph, as in training
-    grams = grams.select(key, "nth", "same", "names", F.array_distinct(ngrams()).alias("grams"))
-    each = grams.select(key, "nth", "same", "names", (F.size("grams") - 1).alias("total"), F.explode_outer("grams").alias("gram"))  # an outer one: else the optimizer tests, and so computes, the array twice
+    # an n-gram counts once in a paragraph, as in training; those with an unknown word can't be in the table and aren't made
+    known = F.transform("words", lambda x: F.when(x.isin(parts), x))
+    grams = grams.select(key, "nth", "same", "names", F.size("words").alias("n"), known.alias("known"))
+    each = grams.select(key, "nth", "same", "names", (2 * F.col("n")).alias("total"), F.explode_outer(known_ngrams("known", "n")).alias("gram"))
     hits = each.join(F.broadcast(weights), "gram")  # at most MAX_FEATURES rows
     owners = [f for f, ts in TEMPLATES.items() for _ in ts]
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(families))] + [F.count_if(F.col("held")[i]).alias(f"t{i}") for i in range(len(owners))]
