@@ -74,7 +74,8 @@ def quality_rules(docs: DataFrame, most: float = MOST_FAILING, key: str = "doc_i
     empty table gives no row.
     """
     counts = written(base_counts(docs, key, text, host), "counts")
-    joined = counts.join(host_verdicts(counts, most), "host", "left")
+    # a written table: its size is known when the join is planned, so few hosts need no exchange of the documents
+    joined = counts.join(written(host_verdicts(counts, most), "hosts"), "host", "left")
     kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
     return joined.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("rate", 6).alias("host_rate"))
 
