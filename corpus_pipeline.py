@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regspark.llm.common import table, written
 from regspark.llm.decontaminate import decontaminated
+from regspark.llm.near_copies import one_of_alike
 from regspark.llm.packing import pack_sequences
 from regspark.llm.pii import pseudonyms
 from regspark.llm.quality_model import accepted
-from regspark.llm.simhash import one_of_each
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
-    return one_of_each(docs)
+    """Of each group of near copies (5-word Jaccard similarity 0.8 or more) the document with the least id stays."""
+    return one_of_alike(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
