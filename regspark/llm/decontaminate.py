@@ -15,17 +15,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, empty_if_null, utf8_bytes
+from .common import bounded_batches, empty_if_null, utf8_bytes, written
 
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 19
 BLOCK_BYTES = 2 << 20
+#: The row number that identifies a document between blocks.
+ROW = "_row"
 #: Lower case for A-Z; a space for every ASCII byte that is no letter or digit; other bytes as they are.
 FOLD = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 0x20 for c in range(128)) + bytes(range(128, 256))
 
@@ -195,23 +198,16 @@ def query_blocks(benchmark: DataFrame, item: str, text: str, most: int = BLOCK_B
         yield [(r.item, r.text.encode()) for r in block.toLocalIterator()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: key, n_words, spans (merged hit words, half open), items (sorted ids of items that occur).
-
-    Null and empty texts have no words and are never hit; items without words
-    or with a null id never occur; repeated items count once.  Repeated
-    documents each give a row (with several query blocks the keys must be
-    distinct).  Other columns are ignored; an empty table gives no row.
-    """
-    bounded_batches(docs.sparkSession)
-    source = docs.select(docs[key], docs[text].cast("string"))
+def block_scans(rows: DataFrame, key: str, text: str, blocks: list[Phrases]) -> list[DataFrame]:
+    """For each block of the benchmark: key, n_words, spans and items of every row."""
+    bounded_batches(rows.sparkSession)
+    source = rows.select(rows[key], rows[text].cast("string"))
     kind = source.schema[0].dataType.simpleString()
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     parts = []
-    for block in query_blocks(benchmark, item, item_text):
-        phrases = Phrases(block, window)
+    for block in blocks:
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = block) -> Iterator[pa.RecordBatch]:
             for keys, _, words in shards(batches):
                 got = phrases.scan(words)
                 yield pa.RecordBatch.from_arrays(
@@ -220,13 +216,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
                 )
 
         parts.append(source.mapInArrow(run, f"`{key}` {kind}, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.withColumn("spans", F.expr(MERGE))
+    return parts
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written, so that it is the same in every scan."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """What several blocks found, one row per row number."""
+    every = reduce(DataFrame.unionByName, parts)
+    found = every.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.withColumn("spans", F.expr(MERGE))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: key, n_words, spans (merged hit words, half open), items (sorted ids of items that occur).
+
+    Null and empty texts have no words and are never hit; items without words
+    or with a null id never occur; repeated items count once.  Every row gives
+    a row, whatever its key; other columns are ignored; an empty table gives
+    no row.
+    """
+    blocks = [Phrases(block, window) for block in query_blocks(benchmark, item, item_text)]
+    if len(blocks) == 1:
+        return block_scans(docs, key, text, blocks)[0]
+    rows = numbered(docs.select(key, text))
+    found = merged(block_scans(rows, ROW, text, blocks))
+    return rows.select(ROW, key).join(found, ROW).select(key, "n_words", "spans", "items")
 
 
 MERGE = """aggregate(spans, cast(array() as array<struct<begin:bigint,end:bigint>>), (done, s) ->
