@@ -276,39 +276,45 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     """The documents with all removal spans cut from `text`, every other column as it was.
 
     A document that loses its last word goes; a document that is not hit stays
-    as it is, null and empty ones too.
+    as it is, null and empty ones too.  The spans of all query blocks are found
+    on the uncut text, merged, and cut once.
     """
     bounded_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
     at = names.index("text")
-    for block in query_blocks(benchmark, "item_id", "text"):
-        phrases = Phrases(block, window)
-
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = utf8_bytes(batch.column(at))
-                old, new, keep = batch.column(at).to_pylist(), [], []
-                held: list[list[bytes]] = []
-                size, done = 0, 0
-
-                def flush(upto: int, held: list, texts: list, old: list, new: list, keep: list, done: int) -> None:
-                    for i, (spans, _) in zip(range(done, upto), phrases.scan(held), strict=True):
-                        cut = without_spans(texts[i], spans) if spans else None
-                        new.append(old[i] if cut is None else cut.decode())
-                        keep.append(cut is None or bool(words_of(cut)))
-
-                for i, x in enumerate(texts):
-                    held.append(words_of(x))
-                    size += len(held[-1])
-                    if size >= SHARD_SYMBOLS:
-                        flush(i + 1, held, texts, old, new, keep, done)
-                        held, size, done = [], 0, i + 1
-                flush(len(texts), held, texts, old, new, keep, done)
-                columns = [pa.array(new, c.type) if i == at else c for i, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    blocks = [Phrases(block, window) for block in query_blocks(benchmark, "item_id", "text")]
+
+    def cut(batch: pa.RecordBatch, texts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        new, keep = [], []
+        for old, x, own in zip(batch.column(at).to_pylist(), texts, spans, strict=True):
+            left = without_spans(x, own) if own else None
+            new.append(old if left is None else left.decode())
+            keep.append(left is None or bool(words_of(left)))
+        columns = [pa.array(new, c.type) if i == at else c for i, c in enumerate(batch.columns[: len(names)])]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    def scan_and_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans, held, size = utf8_bytes(batch.column(at)), [], [], 0
+            for x in texts:
+                held.append(words_of(x))
+                size += len(held[-1])
+                if size >= SHARD_SYMBOLS:
+                    spans += [s for s, _ in blocks[0].scan(held)]
+                    held, size = [], 0
+            spans += [s for s, _ in blocks[0].scan(held)]
+            yield cut(batch, texts, spans)
+
+    def cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[(s["begin"], s["end"]) for s in own or ()] for own in batch.column(len(names)).to_pylist()]
+            yield cut(batch, utf8_bytes(batch.column(at)), spans)
+
+    if len(blocks) == 1:
+        return docs.mapInArrow(scan_and_cut, schema)
+    rows = numbered(docs)
+    found = merged(block_scans(rows, ROW, "text", blocks)).where("size(spans) > 0").select(ROW, F.col("spans").alias("_spans"))
+    return rows.join(found, ROW, "left").select(*names, "_spans").mapInArrow(cut_found, schema)
 
 
 def items_digest(items: list[str]) -> str:
