@@ -224,7 +224,15 @@ def list_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     listed = g.listed_terms(_terms(spark, sf_dir), "doc7")
-    return listed.select("source_id", "term", F.row_number().over(Window.orderBy("source_id", "term")).cast("long").alias("place"))
+    return listed.select("source_id", "term", F.row_number().over(Window.partitionBy("source_id").orderBy("term")).cast("long").alias("place"))
+
+
+@query("WITH " + _TERMS + " SELECT source_id, term, row_number() OVER (PARTITION BY source_id ORDER BY term) AS place FROM terms")
+def list_all_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy("term"))
+    return g.listed_terms(_terms(spark, sf_dir).withColumn("place", place.cast("long"))).select("source_id", "term", "place")
 
 
 @query(_NODES + "SELECT node_id, 'Article' AS kind, article_label AS label FROM articles UNION ALL SELECT source_id, 'Instrument', title FROM legal")
