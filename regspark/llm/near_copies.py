@@ -1,9 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles: minhash bands propose pairs, the shingle sets decide.
-
-The stage of the corpus pipeline; op2_simhash has its own method and contract.
-A fingerprint of 64 bits can't propose these pairs: at similarity 0.8 two
-prints differ in 9.7 bits on average with a deviation of 2.9, so that a radius
-wide enough to lose none also takes in a part of all unrelated pairs.
+"""SimHash near-dedup at a similarity: wide fingerprints propose pairs in tiles, the shingle sets confirm them.
+
+The operator of `simhash` with another setting, for the corpus pipeline: words
+in fives, and documents are near copies from a Jaccard similarity of 0.8 on.
+A print of 64 bits can't hold that line (two prints differ in 9.7 bits on
+average there, with a deviation of 2.9), so prints have WORDS_WIDE * 64 bits.
+
+Distinct prints are laid out in tiles by the number of shingles, since sets of
+that similarity differ in size by a quarter at most; tile pairs further apart
+in size, or in population counts by more than the radius, are skipped, and all
+others compared in full: numpy exclusive-or and bit counts.  What a task finds
+first leaves it as a minimum spanning forest, not as all pairs; the second pass
+proposes in full what confirmed links have left in different components.
 """
 
 from __future__ import annotations
@@ -12,41 +19,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, utf8_bytes, written
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import CHUNK, shingle_hashes, stars
 
-WORDS = 5
+SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is one of whole numbers.
 LEAST = (4, 5)
-#: Bands of minima, and minima in a band: of pairs at 0.8, (1 - 0.8**6)**64 = 4e-9 share no band.
-BANDS, MINIMA = 64, 6
+WORDS_WIDE = 8
+#: Differing bits of 512. At similarity 0.8 prints differ in 77.6 on average with a deviation of 8.1, so 116 loses
+#: one pair in a million at the line itself and none to speak of above it; sets of a few shingles vary more.
+RADIUS, FEW, RADIUS_FEW = 116, 12, 136
+#: The first two words are compared for all pairs, the others where these differ in so many bits at most.
+FIRST = 44
+BANDS = 4
+PAIRS_AT_ONCE = 1 << 18
 #: Nodes that are sent to all tasks; more of them are joined.
 SENT = 200_000
-
-
-def factors() -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and summands of the hash functions, always the same."""
-    r = np.random.default_rng(42)
-    return r.integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, BANDS * MINIMA, np.uint64)
-
-
-def band_keys(shingles: np.ndarray, factor: np.ndarray, summand: np.ndarray) -> np.ndarray:
-    """One long per band, equal for equal minima in it."""
-    from xxhash import xxh64_intdigest
-
-    least = np.full(len(factor), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        np.minimum(least, (shingles[None, at : at + 512] * factor[:, None] + summand[:, None]).min(axis=1), out=least)
-    raw, width = least.tobytes(), 8 * MINIMA
-    return np.array([xxh64_intdigest(raw[b * width : (b + 1) * width], b) for b in range(BANDS)], np.uint64).view(np.int64)
-
-
-def banded(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, t (a hash of the text), node (a hash of its shingle set), n (shingles) and the band keys."""
+BITS = [f"p{k}" for k in range(WORDS_WIDE)]
+
+
+def wide_print(shingles: np.ndarray) -> np.ndarray:
+    """WORDS_WIDE words of 64 bits, each bit as over half of the distinct shingles have it under the word's own hash."""
+    out = np.zeros(WORDS_WIDE, np.uint64)
+    for k in range(WORDS_WIDE):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), 1 << 15):
+            x = (shingles[at : at + (1 << 15)] ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(29)
+            counts += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        out[k] = np.packbits(2 * counts > len(shingles)).view(np.uint64)[0]
+    return out
+
+
+def printed(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, t (a hash of the text), node (a hash of its shingle set), n (shingles) and the print's words."""
     bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     source = docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
@@ -55,14 +67,125 @@ def banded(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        factor, summand = factors()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, WORDS)) for x in utf8_bytes(batch.column(2))]
+            sets = [np.unique(shingle_hashes(x, SHINGLE)) for x in utf8_bytes(batch.column(2))]
             nodes = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            bands = [band_keys(s, factor, summand) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "t", "node", "n", "bands"])
+            prints = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, WORDS_WIDE).view(np.int64)
+            words = [pa.array(np.ascontiguousarray(prints[:, k])) for k in range(WORDS_WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), *words], names=["doc_id", "t", "node", "n", *BITS])
+
+    return source.mapInArrow(run, f"doc_id {kind}, t long, node long, n long, " + ", ".join(f"{b} long" for b in BITS))
+
+
+def spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make up a spanning forest of the nearest ones."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    order = np.argsort(far, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    root, picked = np.arange(len(nodes)), np.zeros(len(a), bool)
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return np.flatnonzero(picked)
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, rx[apart], rank[apart])
+        np.minimum.at(best, ry[apart], rank[apart])
+        link = order[np.unique(best[best < len(a)])]
+        picked[link] = True
+        moved, to = stars(rx[link], ry[link])
+        new = np.arange(len(nodes))
+        new[moved] = to
+        root = new[root]
+
+
+class Proposals:
+    """Pairs found so far: (node, node, root, root, differing bits) each; as a forest between roots, if so asked."""
+
+    def __init__(self, forest: bool):
+        self.forest, self.held, self.size = forest, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.held.append(columns)
+            self.size += len(columns[0])
+
+    def take(self) -> list[np.ndarray]:
+        """All that is held; a forest stays, to go on from it."""
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)] if self.held else [np.zeros(0, np.int64)] * 5
+        if self.forest and self.size:
+            link = spanning(columns[2], columns[3], columns[4])
+            columns = [c[link] for c in columns]
+        self.held, self.size = [], 0
+        return columns
+
+    def shrink(self) -> None:
+        columns = self.take()
+        self.add(*columns)
+
+
+def compare_tiles(x: list[np.ndarray], y: list[np.ndarray], found: Proposals) -> None:
+    """Add the pairs of two tiles, each (node, n, root, words...), whose prints are near."""
+    px, py = (np.stack(t[3:], axis=1).view(np.uint64) for t in (x, y))
+    step = max(1, PAIRS_AT_ONCE // max(1, len(py)))
+    for at in range(0, len(px), step):
+        part = px[at : at + step]
+        far = np.bitwise_count(part[:, None, 0] ^ py[None, :, 0])
+        far += np.bitwise_count(part[:, None, 1] ^ py[None, :, 1])
+        i, j = np.nonzero(far <= FIRST)
+        i += at
+        small, large = np.minimum(x[1][i], y[1][j]), np.maximum(x[1][i], y[1][j])
+        keep = (LEAST[1] * small >= LEAST[0] * large) & (x[2][i] != y[2][j])
+        i, j, small = i[keep], j[keep], small[keep]
+        far = np.bitwise_count(px[i] ^ py[j]).sum(axis=1, dtype=np.int64)
+        keep = far <= np.where(small < FEW, RADIUS_FEW, RADIUS)
+        i, j = i[keep], j[keep]
+        found.add(x[0][i], y[0][j], x[2][i], y[2][j], far[keep])
+        if found.forest and found.size > 1 << 21:
+            found.shrink()
+
+
+def proposals(nodes: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, n, root and the print's words) with different roots whose prints are near, a < b.
+
+    As a forest they connect the same roots as all pairs do.  Bands of sizes
+    number about twenty times the logarithm of the longest text, which bounds
+    the table that is broadcast.
+    """
+    spark = nodes.sparkSession
+    bounded_batches(spark, rows=16)
+    counts = sum((F.bit_count(b) for b in BITS), F.lit(0))
+    # a little over the fifth, so that rounding can't set two sizes at the line five bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) * (BANDS / np.log(1.2501))).cast("int")
+    tiled = nodes.where("n > 0").select("node", "n", "root", *BITS, band.alias("tile"), counts.alias("ones"))
+    size = F.greatest(F.lit(CHUNK[0]), F.least(F.lit(CHUNK[1]), (32 * F.sqrt(F.col("count"))).cast("int")))
+    tiles = written(tiled.groupBy("tile").count().select("tile", F.ceil(F.col("count") / size).cast("int").alias("m")), "tiles")
+    chunk = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    own = F.collect_list(F.struct("node", "n", "root", *BITS)).alias("own")
+    chunks = written(tiled.join(F.broadcast(tiles), "tile").groupBy("tile", chunk.alias("chunk")).agg(own, F.min("ones").alias("low"), F.max("ones").alias("high")), "chunks")
+    near = tiles.select("tile", F.explode(F.array(*map(F.lit, range(BANDS + 1)))).alias("step")).select("tile", (F.col("tile") + F.col("step")).alias("tile2"))
+    near = near.join(F.broadcast(tiles.select(F.col("tile").alias("tile2"), F.col("m").alias("m2"))), "tile2")
+    sent = chunks.join(near, "tile").withColumn("chunk2", F.explode(F.sequence(F.lit(0), F.col("m2") - 1))).where("tile <> tile2 or chunk <= chunk2")
+    theirs = chunks.select(F.col("tile").alias("tile2"), F.col("chunk").alias("chunk2"), F.col("own").alias("theirs"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = sent.join(theirs, ["tile2", "chunk2"]).where(F.greatest(F.col("low") - F.col("high2"), F.col("low2") - F.col("high")) <= RADIUS_FEW)
+
+    def rows_out(found: Proposals) -> pa.RecordBatch:
+        a, b, *_ = found.take()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, t long, node long, n long, bands array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Proposals(forest)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = ([c.to_numpy() for c in batch.column(s).slice(k, 1).flatten().flatten()] for s in range(2))
+                compare_tiles(x, y, found)
+                if not forest and found.size > 1 << 18:
+                    yield rows_out(found)
+        yield rows_out(found)
+
+    return pairs.select("own", "theirs").mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -74,7 +197,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, WORDS)).view(np.int64) for x in utf8_bytes(batch.column(1))]
+            sets = [np.unique(shingle_hashes(x, SHINGLE)).view(np.int64) for x in utf8_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return written(rows.mapInArrow(run, "node long, shingles array<long>"), "sets")
@@ -88,28 +211,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables (node, doc_id, t), the row with the least id of each shingle set, and (node, root) of all sets with a near copy.
-
-    Where many share a band, all are first compared with the least of them; what
-    that leaves in different components is compared in full.
-    """
-    rows = written(banded(docs), "banded")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    """Tables (node, doc_id, t), the row with the least id of each shingle set, and (node, root) of all sets with a near copy."""
+    rows = written(printed(docs), "printed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("row")
+    nodes = written(rows.groupBy("node").agg(first, F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITS)), "nodes")
     least = nodes.select("node", "row.doc_id", "row.t")
-    own = Window.partitionBy("key")
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    keyed = keyed.withColumn("first", F.min(F.struct("node", "n")).over(own)).withColumn("last", F.max("node").over(own))
-    members = written(keyed.where("first.node <> last").select("key", "node", "n", "first"), "members")
-    size = lambda x, y: (LEAST[1] * F.col(x) >= LEAST[0] * F.col(y)) & (LEAST[1] * F.col(y) >= LEAST[0] * F.col(x))
-    sets = shingle_sets(docs, members.select("node").distinct().join(least, "node").select("t", "node"))
-    stars = members.where("node <> first.node").where(size("n", "first.n")).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    found = written(confirmed(stars, sets), "found")
+    forest = written(proposals(nodes.withColumn("root", F.col("node")), forest=True), "forest")
+    # every node that is in any proposal is in the forest
+    listed = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = shingle_sets(docs, written(least.join(listed, "node").select("t", "node"), "wanted"))
+    found = written(confirmed(forest, sets), "found")
     roots = written(components(found), "roots")
-    rooted = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_ = written(rooted.join(mixed, "key", "left_semi"), "open")
-    a, b = (open_.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root"))) for x in "ab")
-    rest = a.join(b, "key").where("node_a < node_b and root_a <> root_b").where(size("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rooted = nodes.join(listed, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = proposals(rooted, forest=False).join(forest, ["a", "b"], "left_anti")
     return least, components(found.unionByName(confirmed(rest, sets)))
 
 
@@ -117,7 +231,8 @@ def one_of_alike(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component of texts with similarity 0.8 or more the row with the least doc_id stays.
 
     Equal shingle sets are near copies, and so are texts without words.  Rows
-    with a null doc_id can't be told apart by it and stay.
+    with a null doc_id can't be told apart by it and stay.  Repeated rows are
+    one; an empty table gives no row; all columns come through as they were.
     """
     least, roots = near_copies(docs)
     rooted = least.join(roots, "node", "left").where("doc_id is not null").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
