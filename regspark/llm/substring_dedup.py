@@ -2,19 +2,26 @@
 
 Every LENGTH-byte string (a suffix, cut at the length that matters) belongs to
 one anchor: the least of the hashes of its ANCHOR-byte strings.  Equal strings
-have their anchor at the same place, so suffixes are grouped in slices: up to
+have their anchor at the same place, so suffixes are sorted in slices: up to
 SLICE neighbouring suffixes of one anchor, which share a core of
-LENGTH - SLICE + 1 bytes.  The core is a slice's leading token.
-
-1. One scan turns texts into slices: core token, token of the whole content.
-2. Slices whose core occurs once go.  Those whose whole content occurs twice
-   or more repeat entirely.  What is left has equal cores and different ends.
-3. Sampled splitters range-partition the ends by core token; buckets sort their
-   suffixes by tokens, each key refining the ties of the one before, and equal
-   neighbours repeat.  A core's suffixes are all in one bucket, so there is
-   nothing to compare across boundaries, but for cores too crowded for one:
-   these are counted suffix by suffix, in an aggregate that spreads.
+LENGTH - SLICE + 1 bytes.  The core is a slice's leading token, the whole
+content its second one.
+
+1. One scan turns texts into slices.
+2. Sampled splitters range-partition them by core, content and place, so that no
+   token is too frequent for one bucket.  A bucket sorts by tokens, each key
+   refining the ties of the one before (a multikey quicksort over columns).
+   Equal neighbours repeat entirely; equal cores with different contents go on.
+   The first and last tokens of neighbouring buckets are compared, which
+   settles the runs that cross a boundary.
+3. Of each content that shares a core with others one slice is taken apart in
+   suffixes: range-partitioned by core, sorted by the tokens of the strings.
+   Cores that are too frequent for that are split by a longer token: their
+   suffixes, one by one, go through step 2 by core and string.
 4. Repeated suffixes merge to spans per document, which are cut from the text.
+
+Two strings are equal when two tokens of 64 bits are, those of the core and of
+the whole; of 10^14 strings some pair would be confused with probability 1e-11.
 """
 
 from __future__ import annotations
@@ -33,8 +40,10 @@ LENGTH, ANCHOR, SLICE = 400, 64, 128
 CORE = LENGTH - SLICE + 1
 #: Suffixes that a scan handles at once; longer texts go in overlapping parts.
 PART = 1 << 22
-#: Variants of one core that a bucket takes; beyond it suffixes are counted one by one.
-CROWD = 20_000
+#: Slices with one core that are taken apart in one bucket; a core with more is split by longer tokens.
+CROWD = 512
+#: Slices, or suffixes, that a bucket holds on average.
+BUCKET = 400_000
 TABLE = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACE_BITS = np.uint64(24)
@@ -130,9 +139,8 @@ def slice_table(docs: DataFrame) -> DataFrame:
     return docs.select("u", "text").mapInArrow(run, "u long, at long, first long, last long, core long, content long, n long")
 
 
-def ends_of(texts: DataFrame, splitters: list[int]) -> DataFrame:
-    """For slices listed with their text: the bytes before and after the core, and the bucket of the core token."""
-    edges = np.array(splitters, np.int64)
+def ends_of(texts: DataFrame) -> DataFrame:
+    """For slices listed with their text: the bytes before and after the core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +151,10 @@ def ends_of(texts: DataFrame, splitters: list[int]) -> DataFrame:
                     row = (u, at, at - last, at - first, s["core"], text[first:at], text[at + CORE : last + LENGTH])
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-            bucket = np.searchsorted(edges, np.array(out[4], np.int64)).astype(np.int32)
             kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), pa.array(bucket)], names=["u", "at", "least", "most", "core", "before", "after", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["u", "at", "least", "most", "core", "before", "after"])
 
-    return texts.select("u", "text", "wanted").mapInArrow(run, "u long, at long, least long, most long, core long, before binary, after binary, bucket int")
+    return texts.select("u", "text", "wanted").mapInArrow(run, "u long, at long, least long, most long, core long, before binary, after binary")
 
 
 def end_tokens(column: pa.Array, nearest_last: bool) -> np.ndarray:
@@ -172,22 +179,102 @@ def suffix_tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
     return row, t, mixed(mixed(before[row, t]) ^ after[row, SLICE - 1 - t] * BASE)
 
 
-def multikey_repeats(keys: list[np.ndarray]) -> np.ndarray:
-    """Which rows have an equal: sort by the first key, then refine ties by the next one only."""
-    alive = np.arange(len(keys[0]))
-    group = np.zeros(len(alive), np.int64)
-    for key in keys:
-        order = np.lexsort((key[alive], group))
-        alive, group = alive[order], group[order]
-        new = np.concatenate([[True], (np.diff(group) != 0) | (key[alive][1:] != key[alive][:-1])]) if len(alive) else np.zeros(0, bool)
-        group = np.cumsum(new)
-        tied = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
-        alive, group = alive[tied], group[tied]
-    out = np.zeros(len(keys[0]), bool)
-    out[alive] = True
+def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
+    """Rows in the order of several keys: quicksort by the first, then each range of equals by the next key alone."""
+    order = np.argsort(keys[0])
+    for k in range(1, len(keys)):
+        tied = np.concatenate([[False], np.all([x[order][1:] == x[order][:-1] for x in keys[:k]], axis=0)]) if len(order) else np.zeros(0, bool)
+        inside = tied | np.concatenate([tied[1:], [False]])[: len(tied)]
+        place = np.flatnonzero(inside)
+        group = np.cumsum(~tied)[place]
+        order[place] = order[place][np.lexsort((keys[k][order[place]], group))]
+    return order
+
+
+def equal_neighbours(keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows have an equal in all keys."""
+    order = multikey_order(keys)
+    equal = np.all([x[order][1:] == x[order][:-1] for x in keys], axis=0) if len(order) else np.zeros(0, bool)
+    out = np.zeros(len(order), bool)
+    out[order[1:][equal]] = out[order[:-1][equal]] = True
     return out
 
 
+RANKED = pa.schema(
+    [(x, pa.int64()) for x in ("u", "at", "first", "last", "core", "content")] + [("bucket", pa.int32())] + [(x, pa.bool_()) for x in ("same", "lead", "varied")] + [("edge", pa.list_(pa.int64()))]
+)
+
+
+def settled_bucket(rows: pa.Table, bucket: int) -> pa.RecordBatch:
+    """The rows of a bucket that repeat or share their core, and those of its first and last core; then one row of edges.
+
+    same: another row has this core and content; lead: the first of such rows;
+    varied: the core has other contents.  Edges: first core, its least and
+    greatest content, last core, its least and greatest content.
+    """
+    column = {x: rows.column(x).to_numpy() for x in ("u", "at", "first", "last", "core", "content", "n")}
+    order = multikey_order([column["core"], column["content"]])
+    column = {x: v[order] for x, v in column.items()}
+    core, content = column["core"], column["content"]
+    new_core = np.concatenate([[True], core[1:] != core[:-1]])
+    lead = new_core | np.concatenate([[True], content[1:] != content[:-1]])
+    group, run = np.cumsum(lead) - 1, np.cumsum(new_core) - 1
+    same = (np.bincount(group)[group] > 1) | (column["n"] > 1)
+    varied = np.bincount(run[lead])[run] > 1
+    head, tail = run == 0, run == run[-1]
+    keep = np.flatnonzero(same | varied | head | tail)
+    edge = [core[0], content[0], content[head][-1], core[-1], content[tail][0], content[-1]]
+    out = [pa.array(np.append(column[x][keep], 0)) for x in ("u", "at", "first", "last", "core", "content")]
+    out += [pa.array(np.full(len(keep) + 1, bucket, np.int32)), *(pa.array(np.append(x[keep], False)) for x in (same, lead, varied))]
+    out.append(pa.array([None] * len(keep) + [list(map(int, edge))], pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays(out, schema=RANKED)
+
+
+def boundary_rows(edges: list[tuple[int, list[int]]]) -> list[tuple]:
+    """Per bucket, in their order: bucket, first core and content, last core and content, and what the neighbours tell of both."""
+    edges = sorted(edges)
+    reach: dict[int, tuple[int, int]] = {}
+    for _, (c, low, high, d, low2, high2) in edges:
+        for x, a, b in ((c, low, high), (d, low2, high2)):
+            known = reach.get(x, (a, b))
+            reach[x] = min(a, known[0]), max(b, known[1])
+    crosses = [False, *((x[3], x[5]) == (y[0], y[1]) for (_, x), (_, y) in zip(edges, edges[1:], strict=False)), False]
+    return [
+        (bucket, e[0], e[1], e[3], e[5], crosses[k], crosses[k + 1], reach[e[0]][0] != reach[e[0]][1], reach[e[3]][0] != reach[e[3]][1])
+        for k, (bucket, e) in enumerate(edges)
+    ]
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """Slices (u, at, first, last, core, content, n) of a written table that repeat (same) or share their core (varied).
+
+    A bucket's edges are one row each, so what the driver sees is bounded by
+    the number of buckets.
+    """
+    spark = rows.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BUCKET))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = [x for x in batches if x.num_rows]
+        if held:
+            yield settled_bucket(pa.Table.from_batches(held), TaskContext.get().partitionId())
+
+    kinds = "u long, at long, first long, last long, core long, content long, bucket int, same boolean, lead boolean, varied boolean, edge array<long>"
+    sorted_ = written(rows.repartitionByRange(buckets, "core", "content", "u", "at").mapInArrow(run, kinds), "ranked")
+    edges = [(r.bucket, r.edge) for r in sorted_.where("edge is not null").select("bucket", "edge").collect()]
+    names = "bucket int, core_a long, content_a long, core_z long, content_z long, same_a boolean, same_z boolean, varied_a boolean, varied_z boolean"
+    known = spark.createDataFrame(boundary_rows(edges), names)
+    first, last = "core = core_a and content = content_a", "core = core_z and content = content_z"
+    return sorted_.where("edge is null").join(F.broadcast(known), "bucket").select(
+        "u", "at", "first", "last", "core",
+        F.expr(f"same or ({first} and same_a) or ({last} and same_z)").alias("same"),
+        F.expr(f"lead and not ({first} and same_a)").alias("lead"),
+        F.expr("varied or (core = core_a and varied_a) or (core = core_z and varied_z)").alias("varied"),
+    )
+
+
 def runs_out(batch: pa.RecordBatch, row: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
     """Repeated suffixes as runs (u, first, last); row and t ascend."""
     u, at = batch.column("u").to_numpy(), batch.column("at").to_numpy()
@@ -198,13 +285,13 @@ def runs_out(batch: pa.RecordBatch, row: np.ndarray, t: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(u[row[low]]), pa.array(at[row[low]] - t[high]), pa.array(at[row[low]] - t[low])], names=["u", "first", "last"])
 
 
-def sorted_buckets(ends: DataFrame) -> DataFrame:
-    """Repeated suffixes of the bucketed ends, as runs."""
+def sorted_buckets(ends: DataFrame, buckets: int) -> DataFrame:
+    """Repeated suffixes of slices whose cores fit in a bucket, as runs; a core is never in two buckets."""
 
     def settle(held: pa.Table) -> pa.RecordBatch:
         whole = held.combine_chunks().to_batches()[0]
         row, t, token = suffix_tokens(whole)
-        twice = multikey_repeats([whole.column("core").to_numpy()[row], t, token])
+        twice = equal_neighbours([whole.column("core").to_numpy()[row], t, token])
         return runs_out(whole, row[twice], t[twice])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,22 +309,20 @@ def sorted_buckets(ends: DataFrame) -> DataFrame:
         if held is not None:
             yield settle(held)
 
-    return ends.repartition("bucket").sortWithinPartitions("bucket", "core").mapInArrow(run, "u long, first long, last long")
+    return ends.repartitionByRange(buckets, "core").sortWithinPartitions("core").mapInArrow(run, "u long, first long, last long")
 
 
-def counted_suffixes(ends: DataFrame) -> DataFrame:
-    """The same for crowded cores: a row per suffix, counted by token in an aggregate that combines before its shuffle."""
+def single_suffixes(ends: DataFrame) -> DataFrame:
+    """The suffixes of slices one by one, as slices of their own with the token of the string as content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, t, token = suffix_tokens(batch)
             u, at, core = (batch.column(x).to_numpy()[row] for x in ("u", "at", "core"))
-            token = mixed(token ^ core.view(np.uint64) ^ t.astype(np.uint64) * BASE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(at - t), pa.array(token)], names=["u", "first", "token"])
+            token = mixed(token ^ t.astype(np.uint64) * BASE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, at - t, at - t, at - t, core, token, np.ones_like(t))], schema=SLICES)
 
-    every = ends.mapInArrow(run, "u long, first long, token long")
-    twice = every.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return every.join(twice, "token").select("u", "first", F.col("first").alias("last"))
+    return ends.mapInArrow(run, "u long, at long, first long, last long, core long, content long, n long")
 
 
 def merged_spans(runs: list[dict]) -> list[tuple[int, int]]:
@@ -259,24 +344,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keyed = plain.select("*", F.xxhash64(F.col(key), "text").alias("u"))  # equal rows share a name, any other two differ
     every = written(slice_table(keyed), "slices")
     known = every.where("n < 0").select("u", "first", "last")
-    found = every.where("n > 0")
-    shared = found.groupBy("core").agg(F.sum("n").alias("total"), F.min("content").alias("a"), F.max("content").alias("b")).where("total > 1")
-    candidates = written(found.join(shared.select("core", (F.col("a") != F.col("b")).alias("varied")), "core"), "candidates")
-    same = candidates.where("not varied").select("u", "first", "last")
-    varied = candidates.where("varied")
-    contents = written(varied.groupBy("core", "content").agg(F.sum("n").alias("c"), F.min(F.struct("u", "at", "first", "last")).alias("one")), "contents")
-    same = same.unionByName(varied.join(contents.where("c > 1").select("core", "content"), ["core", "content"]).select("u", "first", "last"))
-    crowded = contents.groupBy("core").count().where(F.col("count") > CROWD).select("core", F.lit(True).alias("crowded"))
-    crowds = written(crowded, "crowded")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = contents.select(F.percentile_approx("core", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    wanted = contents.select("one.*", "core").groupBy("u").agg(F.collect_list(F.struct("at", "first", "last", "core")).alias("wanted"))
-    ends = ends_of(keyed.select("u", "text").join(wanted, "u"), sorted(splitters))
-    if crowds.isEmpty():
-        runs = sorted_buckets(ends)
-    else:
-        ends = written(ends, "ends")
-        runs = sorted_buckets(ends.join(crowds, "core", "left_anti")).unionByName(counted_suffixes(ends.join(crowds, "core", "left_semi")))
+    shared = written(ranked(every.where("n > 0")), "shared")
+    same = shared.where("same").select("u", "first", "last")
+    parts = written(shared.where("varied and lead").select("u", "at", "first", "last", "core"), "parts")
+    crowds = written(parts.groupBy("core").count().where(F.col("count") > CROWD).select("core"), "crowds")
+    wanted = parts.groupBy("u").agg(F.collect_list(F.struct("at", "first", "last", "core")).alias("wanted"))  # bounded by the text
+    ends = written(ends_of(keyed.select("u", "text").join(wanted, "u")), "ends")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() * SLICE // 4 // BUCKET))
+    few, many = ends.join(crowds, "core", "left_anti"), ends.join(crowds, "core", "left_semi")
+    runs = sorted_buckets(few, buckets)
+    if not crowds.isEmpty():
+        runs = runs.unionByName(ranked(written(single_suffixes(many), "suffixes")).where("same").select("u", "first", "last"))
     spans = known.unionByName(same).unionByName(runs).groupBy("u").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     return keyed.join(spans, "u", "left").select(key, "text", "runs")
 
