@@ -7,26 +7,34 @@ bit planes answers ranks, backward search finds all test phrases at once, and
 sampled suffix positions locate their occurrences.  Overlapping occurrences
 merge into removal spans.
 
-The benchmark is the query set: it goes to the tasks in blocks of bounded size,
-against all documents; with several blocks a document's results are merged.
+The benchmark is the query set: it goes to the tasks as text, in blocks of
+bounded size against all documents, and one block is on the driver at a time.
+A shard has one index, which all windows of a block are searched in, in parts of
+bounded size.  A benchmark beyond one block is one more pass for each, whose
+results are merged by a number of the row.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, empty_if_null, utf8_bytes, written
+from .common import bounded_batches, empty_if_null, utf8_bytes, worker_cache, written
 
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 19
-BLOCK_BYTES = 2 << 20
+#: Benchmark text of one pass, sent to all tasks; a worker's tables of it take about five times as much.
+BLOCK_BYTES = 32 << 20
+#: Windows that are searched at once.
+SEARCHED = 1 << 18
 #: The row number that identifies a document between blocks.
 ROW = "_row"
 #: Lower case for A-Z; a space for every ASCII byte that is no letter or digit; other bytes as they are.
@@ -122,20 +130,28 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of a block of test items, as word ids, and the items that each belongs to."""
+    """The windows of a block of test items, as runs of word ids, and the item that each belongs to."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text))
-            for i in range(max(len(ids) - window + 1, min(1, len(ids)))):
-                owners.setdefault(ids[i : i + window], set()).add(item)
-        self.owners = list(owners.values())
-        self.lengths = np.array([len(w) for w in owners], np.int64)
-        self.windows = np.zeros((len(owners), window), np.int64)
-        for row, w in zip(self.windows, owners, strict=True):
-            row[window - len(w) :] = w
+        self.window, self.vocabulary = window, {}
+        number = self.vocabulary.setdefault
+        ids = [np.array([number(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        self.items = [item for item, _ in items]
+        self.ids = np.concatenate([np.zeros(window, np.int32), *ids])  # room before the first, for windows that are short
+        times = np.maximum(sizes - window + 1, np.minimum(sizes, 1))
+        self.item = np.repeat(np.arange(len(items)), times)
+        begin = np.cumsum(sizes) - sizes + window
+        self.start = np.repeat(begin, times) + np.arange(len(self.item)) - np.repeat(np.cumsum(times) - times, times)
+        self.length = np.minimum(sizes, window)[self.item]
+
+    def windows(self, which: slice) -> np.ndarray:
+        """Windows at the right end of their rows, zeros before them."""
+        back = np.arange(-self.window, 0)
+        length = self.length[which]
+        rows = self.ids[(self.start[which] + length)[:, None] + back[None, :]].astype(np.int64)
+        rows[back[None, :] < -length[:, None]] = 0
+        return rows
 
     def scan(self, documents: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
         """Per document the merged [begin, end) spans of hit words, and the items whose windows occur."""
@@ -148,29 +164,47 @@ class Phrases:
             symbols += [ids[keep], np.zeros(1, np.int64)]
             origin += [keep, np.full(1, len(ids))]
             total += len(keep) + 1
-        if not total or not len(self.windows):
+        if not total or not len(self.start):
             return out
         text, word_at = np.concatenate(symbols), np.concatenate(origin)
         index = FMIndex(text)
-        low, high = index.search(self.windows, self.lengths)
-        found = np.flatnonzero(high > low)
-        times = (high - low)[found]
-        phrase = np.repeat(found, times)
-        rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(times)])[:-1], times) + np.arange(times.sum())
-        place = index.locate(rows)
+        found, rows = [], []
+        for at in range(0, len(self.start), SEARCHED):
+            part = slice(at, at + SEARCHED)
+            low, high = index.search(self.windows(part), self.length[part])
+            hit = np.flatnonzero(high > low)
+            times = (high - low)[hit]
+            found.append(at + np.repeat(hit, times))
+            rows.append(np.repeat(low[hit] - np.concatenate([[0], np.cumsum(times)])[:-1], times) + np.arange(times.sum()))
+        phrase = np.concatenate(found)
+        place = index.locate(np.concatenate(rows))
         document = np.searchsorted(np.array(begins), place, side="right") - 1
         order = np.lexsort((place, document))
-        for d, p, k in zip(document[order].tolist(), word_at[place[order]].tolist(), phrase[order].tolist(), strict=True):
+        phrase = phrase[order]
+        for d, p, n, i in zip(document[order].tolist(), word_at[place[order]].tolist(), self.length[phrase].tolist(), self.item[phrase].tolist(), strict=True):
             spans, items = out[d]
-            end = p + int(self.lengths[k])
             if spans and p <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+                spans[-1] = (spans[-1][0], max(p + n, spans[-1][1]))
             else:
-                spans.append((p, end))
-            items |= self.owners[k]
+                spans.append((p, p + n))
+            items.add(self.items[i])
         return out
 
 
+class Block:
+    """A block of test items for tasks: the text is sent once to each machine, its windows are made once in each worker."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[str, bytes]], window: int):
+        self.sent, self.window, self.name = spark.sparkContext.broadcast(items), window, f"phrases_{uuid.uuid4().hex}"
+
+    def phrases(self) -> Phrases:
+        held = worker_cache("phrases", dict)
+        if self.name not in held:
+            held.clear()  # those of an earlier pass
+            held[self.name] = Phrases(self.sent.value, self.window)
+        return held[self.name]
+
+
 def shards(batches: Iterator[pa.RecordBatch], symbols: int = SHARD_SYMBOLS) -> Iterator[tuple[list, list[bytes], list[list[bytes]]]]:
     """Runs of (keys, texts, words) with about `symbols` words each."""
     keys, texts, words, held, kind = [], [], [], 0, None
@@ -198,25 +232,34 @@ def query_blocks(benchmark: DataFrame, item: str, text: str, most: int = BLOCK_B
         yield [(r.item, r.text.encode()) for r in block.toLocalIterator()]
 
 
-def block_scans(rows: DataFrame, key: str, text: str, blocks: list[Phrases]) -> list[DataFrame]:
-    """For each block of the benchmark: key, n_words, spans and items of every row."""
+def block_scan(rows: DataFrame, key: str, text: str, block: Block) -> DataFrame:
+    """key, n_words, spans and items of every row, for one block of the benchmark."""
     bounded_batches(rows.sparkSession)
     source = rows.select(rows[key], rows[text].cast("string"))
     kind = source.schema[0].dataType.simpleString()
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    parts = []
-    for block in blocks:
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = block) -> Iterator[pa.RecordBatch]:
-            for keys, _, words in shards(batches):
-                got = phrases.scan(words)
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(map(len, words), pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in s] for s, _ in got], span), pa.array([sorted(i) for _, i in got], pa.list_(pa.string()))],
-                    names=[key, "n_words", "spans", "items"],
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = block.phrases()
+        for keys, _, words in shards(batches):
+            got = phrases.scan(words)
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(map(len, words), pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in s] for s, _ in got], span), pa.array([sorted(i) for _, i in got], pa.list_(pa.string()))],
+                names=[key, "n_words", "spans", "items"],
+            )
+
+    return source.mapInArrow(run, f"`{key}` {kind}, n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
+
 
-        parts.append(source.mapInArrow(run, f"`{key}` {kind}, n_words long, spans array<struct<begin:long,end:long>>, items array<string>"))
-    return parts
+def pass_by_pass(rows: DataFrame, key: str, text: str, first: list[tuple[str, bytes]], blocks: Iterator[list[tuple[str, bytes]]], window: int) -> DataFrame:
+    """What all blocks find, one row per row; a block's result is written before the next one is read."""
+    spark, parts, now = rows.sparkSession, [], first
+    while now is not None:
+        block = Block(spark, now, window)
+        parts.append(written(block_scan(rows, key, text, block), "pass"))
+        block.sent.destroy()
+        now = next(blocks, None)
+    return merged(parts)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -239,11 +282,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     a row, whatever its key; other columns are ignored; an empty table gives
     no row.
     """
-    blocks = [Phrases(block, window) for block in query_blocks(benchmark, item, item_text)]
-    if len(blocks) == 1:
-        return block_scans(docs, key, text, blocks)[0]
+    blocks = query_blocks(benchmark, item, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return block_scan(docs, key, text, Block(docs.sparkSession, first, window))
     rows = numbered(docs.select(key, text))
-    found = merged(block_scans(rows, ROW, text, blocks))
+    found = pass_by_pass(rows, ROW, text, first, chain([second], blocks), window)
     return rows.select(ROW, key).join(found, ROW).select(key, "n_words", "spans", "items")
 
 
@@ -282,7 +326,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     bounded_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
     at = names.index("text")
-    blocks = [Phrases(block, window) for block in query_blocks(benchmark, "item_id", "text")]
+    blocks = query_blocks(benchmark, "item_id", "text")
+    first, second = next(blocks), next(blocks, None)
+    block = Block(docs.sparkSession, first, window)
 
     def cut(batch: pa.RecordBatch, texts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
         new, keep = [], []
@@ -294,15 +340,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     def scan_and_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = block.phrases()
         for batch in batches:
             texts, spans, held, size = utf8_bytes(batch.column(at)), [], [], 0
             for x in texts:
                 held.append(words_of(x))
                 size += len(held[-1])
                 if size >= SHARD_SYMBOLS:
-                    spans += [s for s, _ in blocks[0].scan(held)]
+                    spans += [s for s, _ in phrases.scan(held)]
                     held, size = [], 0
-            spans += [s for s, _ in blocks[0].scan(held)]
+            spans += [s for s, _ in phrases.scan(held)]
             yield cut(batch, texts, spans)
 
     def cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +357,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
             spans = [[(s["begin"], s["end"]) for s in own or ()] for own in batch.column(len(names)).to_pylist()]
             yield cut(batch, utf8_bytes(batch.column(at)), spans)
 
-    if len(blocks) == 1:
+    if second is None:
         return docs.mapInArrow(scan_and_cut, schema)
     rows = numbered(docs)
-    found = merged(block_scans(rows, ROW, "text", blocks)).where("size(spans) > 0").select(ROW, F.col("spans").alias("_spans"))
+    found = pass_by_pass(rows, ROW, "text", first, chain([second], blocks), window).where("size(spans) > 0").select(ROW, F.col("spans").alias("_spans"))
     return rows.join(found, ROW, "left").select(*names, "_spans").mapInArrow(cut_found, schema)
 
 
