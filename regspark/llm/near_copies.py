@@ -9,8 +9,9 @@ Distinct prints are laid out in tiles by the number of shingles, since sets of
 that similarity differ in size by a quarter at most; tile pairs further apart
 in size, or in population counts by more than the radius, are skipped, and all
 others compared in full: numpy exclusive-or and bit counts.  What a task finds
-first leaves it as a minimum spanning forest, not as all pairs; the second pass
-proposes in full what confirmed links have left in different components.
+leaves it as a spanning forest, not as all pairs.  The sets of each cluster of
+proposals are then compared in chunks of bounded size, all pairs of chunks, and
+what is similar enough leaves those tasks as stars.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, utf8_bytes, written
 from .components import components
-from .simhash import CHUNK, shingle_hashes, stars
+from .simhash import CHUNK, Links, shingle_hashes, stars
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is one of whole numbers.
@@ -37,6 +38,8 @@ RADIUS, FEW, RADIUS_FEW = 116, 12, 136
 FIRST = 44
 BANDS = 4
 PAIRS_AT_ONCE = 1 << 18
+#: Shingles in a chunk of a cluster.
+CHUNK_SHINGLES = 200_000
 #: Nodes that are sent to all tasks; more of them are joined.
 SENT = 200_000
 BITS = [f"p{k}" for k in range(WORDS_WIDE)]
@@ -102,33 +105,30 @@ def spanning(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
 
 
 class Proposals:
-    """Pairs found so far: (node, node, root, root, differing bits) each; as a forest between roots, if so asked."""
+    """Pairs found so far: (node, node, differing bits) each, kept as a spanning forest."""
 
-    def __init__(self, forest: bool):
-        self.forest, self.held, self.size = forest, [], 0
+    def __init__(self):
+        self.held, self.size = [], 0
 
     def add(self, *columns: np.ndarray) -> None:
         if len(columns[0]):
             self.held.append(columns)
             self.size += len(columns[0])
+        if self.size > 1 << 21:
+            self.shrink()
 
-    def take(self) -> list[np.ndarray]:
-        """All that is held; a forest stays, to go on from it."""
-        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)] if self.held else [np.zeros(0, np.int64)] * 5
-        if self.forest and self.size:
-            link = spanning(columns[2], columns[3], columns[4])
-            columns = [c[link] for c in columns]
-        self.held, self.size = [], 0
-        return columns
-
-    def shrink(self) -> None:
-        columns = self.take()
-        self.add(*columns)
+    def shrink(self) -> tuple[np.ndarray, ...]:
+        if not self.size:
+            return (np.zeros(0, np.int64),) * 3
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        link = spanning(*columns)
+        self.held, self.size = [tuple(c[link] for c in columns)], len(link)
+        return self.held[0]
 
 
 def compare_tiles(x: list[np.ndarray], y: list[np.ndarray], found: Proposals) -> None:
-    """Add the pairs of two tiles, each (node, n, root, words...), whose prints are near."""
-    px, py = (np.stack(t[3:], axis=1).view(np.uint64) for t in (x, y))
+    """Add the pairs of two tiles, each (node, n, words...), whose prints are near."""
+    px, py = (np.stack(t[2:], axis=1).view(np.uint64) for t in (x, y))
     step = max(1, PAIRS_AT_ONCE // max(1, len(py)))
     for at in range(0, len(px), step):
         part = px[at : at + step]
@@ -137,20 +137,17 @@ def compare_tiles(x: list[np.ndarray], y: list[np.ndarray], found: Proposals) ->
         i, j = np.nonzero(far <= FIRST)
         i += at
         small, large = np.minimum(x[1][i], y[1][j]), np.maximum(x[1][i], y[1][j])
-        keep = (LEAST[1] * small >= LEAST[0] * large) & (x[2][i] != y[2][j])
+        keep = (LEAST[1] * small >= LEAST[0] * large) & (x[0][i] != y[0][j])
         i, j, small = i[keep], j[keep], small[keep]
         far = np.bitwise_count(px[i] ^ py[j]).sum(axis=1, dtype=np.int64)
         keep = far <= np.where(small < FEW, RADIUS_FEW, RADIUS)
-        i, j = i[keep], j[keep]
-        found.add(x[0][i], y[0][j], x[2][i], y[2][j], far[keep])
-        if found.forest and found.size > 1 << 21:
-            found.shrink()
+        found.add(x[0][i[keep]], y[0][j[keep]], far[keep])
 
 
-def proposals(nodes: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of `nodes` (node, n, root and the print's words) with different roots whose prints are near, a < b.
+def proposals(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, n and the print's words) that connect what all pairs with near prints connect.
 
-    As a forest they connect the same roots as all pairs do.  Bands of sizes
+    Bands of sizes
     number about twenty times the logarithm of the longest text, which bounds
     the table that is broadcast.
     """
@@ -159,11 +156,11 @@ def proposals(nodes: DataFrame, forest: bool) -> DataFrame:
     counts = sum((F.bit_count(b) for b in BITS), F.lit(0))
     # a little over the fifth, so that rounding can't set two sizes at the line five bands apart
     band = F.floor(F.log(F.col("n").cast("double")) * (BANDS / np.log(1.2501))).cast("int")
-    tiled = nodes.where("n > 0").select("node", "n", "root", *BITS, band.alias("tile"), counts.alias("ones"))
+    tiled = nodes.where("n > 0").select("node", "n", *BITS, band.alias("tile"), counts.alias("ones"))
     size = F.greatest(F.lit(CHUNK[0]), F.least(F.lit(CHUNK[1]), (32 * F.sqrt(F.col("count"))).cast("int")))
     tiles = written(tiled.groupBy("tile").count().select("tile", F.ceil(F.col("count") / size).cast("int").alias("m")), "tiles")
     chunk = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    own = F.collect_list(F.struct("node", "n", "root", *BITS)).alias("own")
+    own = F.collect_list(F.struct("node", "n", *BITS)).alias("own")
     chunks = written(tiled.join(F.broadcast(tiles), "tile").groupBy("tile", chunk.alias("chunk")).agg(own, F.min("ones").alias("low"), F.max("ones").alias("high")), "chunks")
     near = tiles.select("tile", F.explode(F.array(*map(F.lit, range(BANDS + 1)))).alias("step")).select("tile", (F.col("tile") + F.col("step")).alias("tile2"))
     near = near.join(F.broadcast(tiles.select(F.col("tile").alias("tile2"), F.col("m").alias("m2"))), "tile2")
@@ -171,21 +168,16 @@ def proposals(nodes: DataFrame, forest: bool) -> DataFrame:
     theirs = chunks.select(F.col("tile").alias("tile2"), F.col("chunk").alias("chunk2"), F.col("own").alias("theirs"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = sent.join(theirs, ["tile2", "chunk2"]).where(F.greatest(F.col("low") - F.col("high2"), F.col("low2") - F.col("high")) <= RADIUS_FEW)
 
-    def rows_out(found: Proposals) -> pa.RecordBatch:
-        a, b, *_ = found.take()
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Proposals(forest)
+        found = Proposals()
         for batch in batches:
             for k in range(batch.num_rows):
                 x, y = ([c.to_numpy() for c in batch.column(s).slice(k, 1).flatten().flatten()] for s in range(2))
                 compare_tiles(x, y, found)
-                if not forest and found.size > 1 << 18:
-                    yield rows_out(found)
-        yield rows_out(found)
+        a, b, _ = found.shrink()
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return pairs.select("own", "theirs").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("own", "theirs").mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -203,11 +195,56 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "node long, shingles array<long>"), "sets")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(LEAST[1] * both >= LEAST[0] * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+def similar_sets(x: pa.StructArray, y: pa.StructArray | None, links: Links) -> None:
+    """Add the links between the (node, shingles) of two chunks, or within one."""
+    own = y is None
+    y = x if own else y
+    (nodes_x, sets_x), (nodes_y, sets_y) = ((c.field(0).to_numpy(), c.field(1)) for c in (x, y))
+    size_x, size_y = (np.asarray(s.value_lengths(), np.int64) for s in (sets_x, sets_y))
+    all_x, all_y = (s.flatten().to_numpy() for s in (sets_x, sets_y))
+    known, place = np.unique(all_y, return_inverse=True)
+    begin = np.cumsum(size_y) - size_y
+    at = 0
+    for i, size in enumerate(size_x.tolist()):
+        mine = all_x[at : at + size]
+        at += size
+        first = i + 1 if own else 0
+        if first == len(size_y):
+            break
+        spot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+        has = np.zeros(len(known), np.int64)
+        has[spot[known[spot] == mine]] = 1
+        both = np.add.reduceat(has[place[begin[first] :]], begin[first:] - begin[first])
+        near = first + np.flatnonzero(LEAST[1] * both >= LEAST[0] * (size + size_y[first:] - both))
+        links.add(np.full(len(near), nodes_x[i]), nodes_y[near])
+
+
+def confirmed(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what all similar pairs within a cluster (node, root) connect.
+
+    A cluster's sets are dealt by hash to chunks of about CHUNK_SHINGLES, or of one longer set.
+    """
+    spark = sets.sparkSession
+    bounded_batches(spark)
+    members = written(sets.join(clusters, "node").withColumn("size", F.size("shingles").cast("long")), "members")
+    parts = members.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK_SHINGLES).cast("int").alias("m"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    chunks = members.join(written(parts, "parts"), "root").groupBy("root", "m", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "shingles")).alias("own"))
+    chunks = written(chunks, "chunks")
+    sent = chunks.where("chunk < m - 1").select("root", "own", F.explode(F.expr("sequence(chunk + 1, m - 1)")).alias("chunk"))
+    across = sent.join(chunks.where("m > 1").select("root", "chunk", F.col("own").alias("theirs")), ["root", "chunk"]).select("own", "theirs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = Links()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (c.slice(k, 1).flatten() if c.slice(k, 1)[0].is_valid else None for c in batch.columns)
+                similar_sets(x, y, links)
+        a, b = links.shrink()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    within = chunks.select("own", F.expr("cast(null as array<struct<node:bigint,shingles:array<bigint>>>)").alias("theirs"))
+    return within.unionByName(across).mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -216,15 +253,9 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("row")
     nodes = written(rows.groupBy("node").agg(first, F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITS)), "nodes")
     least = nodes.select("node", "row.doc_id", "row.t")
-    forest = written(proposals(nodes.withColumn("root", F.col("node")), forest=True), "forest")
-    # every node that is in any proposal is in the forest
-    listed = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = shingle_sets(docs, written(least.join(listed, "node").select("t", "node"), "wanted"))
-    found = written(confirmed(forest, sets), "found")
-    roots = written(components(found), "roots")
-    rooted = nodes.join(listed, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = proposals(rooted, forest=False).join(forest, ["a", "b"], "left_anti")
-    return least, components(found.unionByName(confirmed(rest, sets)))
+    clusters = written(components(proposals(nodes)), "clusters")
+    sets = shingle_sets(docs, written(least.join(clusters, "node").select("t", "node"), "wanted"))
+    return least, components(confirmed(clusters, sets))
 
 
 def one_of_alike(docs: DataFrame) -> DataFrame:
