@@ -245,7 +245,7 @@ def check_packed(df, rows, size):
 
 
 def test_packing_round_trip(docs, rows):
-    sequences = check_packed(pack_sequences(docs, size=256), rows, 256)
+    sequences = check_packed(pack_sequences(docs, limits=(256, 256, 256)), rows, 256)
     lengths = [sum(n for _, n in s) for s in sequences.values()]
     assert all(n & (n - 1) == 0 for n in lengths)  # nothing is padded
 
@@ -256,17 +256,55 @@ def test_packing_limits_hold_together():
     Bins((64, 5, 40), 0, lambda *x: out.append(x)).pack(examples)
     sequences = collections.defaultdict(list)
     for k, start, length, sequence, offset in out:
-        sequences[sequence].append((offset, length, Bins._loss(type("B", (), {"examples": examples})(), k, start, length)))
+        sequences[sequence].append((offset, length, Bins.loss(type("B", (), {"examples": examples})(), k, start, start + length)))
     for s in sequences.values():
         assert sum(x[1] for x in s) <= 64 and len(s) <= 5 and sum(x[2] for x in s) <= 40
     assert sum(x[2] for x in out) == sum(t for t, _ in examples)
 
 
+def test_packing_limits_decide_placements():
+    """Either limit changes the packing, no sequence breaks one, and none is padded."""
+    r = random.Random(8)
+    examples = [(n := r.choice([r.randint(2, 40), r.randint(41, 3000)]), int(n * r.random() * 0.3)) for _ in range(400)]
+    made = {}
+    for limits in ((1024, 6, 960), (1024, 256, 960), (1024, 6, 1024), (1024, 256, 1024)):
+        out = []
+        bins = Bins(limits, 0, lambda *x, out=out: out.append(x))
+        bins.pack(examples)
+        sequences = collections.defaultdict(list)
+        for k, start, length, sequence, _ in out:
+            sequences[sequence].append((length, bins.loss(k, start, start + length)))
+        for s in sequences.values():
+            total = sum(x[0] for x in s)
+            assert total & (total - 1) == 0 and total <= 1024 and len(s) <= limits[1] and sum(x[1] for x in s) <= limits[2]
+        covered = collections.defaultdict(list)
+        for k, start, length, _, _ in out:
+            covered[k].append((start, length))
+        for k, pieces in covered.items():
+            ends = [a + n for a, n in sorted(pieces)]
+            assert [a for a, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] == examples[k][0]
+        assert len(covered) == len(examples)
+        made[limits] = sorted(out)
+    assert len({str(x) for x in made.values()}) == 4
+
+
+def test_prompt_is_the_first_line(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Ask for it.\n" + prose(3, 50), prose(4, 30), "only a line\n", "", None, "é ß\n中文"]
+    df = pack_sequences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = collections.Counter()
+    for r in df.collect():
+        got[r.doc_id] += r.n_loss
+    ids = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    line = [len(library.encode(t.split("\n")[0] + "\n", add_special_tokens=False).ids) if t and t.split("\n", 1)[-1] != t and t.split("\n", 1)[1] else 0 for t in texts]
+    assert [got[k] for k in range(len(texts))] == [len(i) - n for i, n in zip(ids, line, strict=True)]
+
+
 def test_encoder_is_the_library():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encoder = Encoder()
-    for t in ["", " ", "a  b   c", "x \n y\n\n z\t w ", "<|endoftext|>a <|endoftext|> b", "it's 12 34,5", "é ü  \x1c a", prose(9, 300), "a " * 50 + " "]:
-        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    for t in ["", " ", "a  b   c", "x \n y\n\n z\t w ", "<|endoftext|>a <|endoftext|> b", "it's 12 34,5", "é ü  \x1c a", prose(9, 300), "a " * 50 + " ", prose(10, 30_000), "x" * 3000, "é中" * 2000]:
+        assert encoder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 def test_empty_tables(empty, spark):
