@@ -86,7 +86,7 @@ def personal() -> list[tuple[int, str]]:
 
 
 def test_surrogates_keep_type_format_and_coreference(spark):
-    got = by_id(pii.pseudonyms(spark.createDataFrame(personal(), "doc_id long, text string"), counts=True))
+    got = by_id(pii.pseudonyms(spark.createDataFrame(personal(), "doc_id long, text string"), b"key", counts=True))
     a, b = got[1].text, got[2].text
     for secret in ("hein", "HEIN", "743", "3824", "152.143", "4465758382889437", "24be6443", "Keller"):
         assert secret not in a and secret not in b
@@ -105,7 +105,7 @@ def test_surrogates_are_distinct_and_no_entities(spark):
     r = random.Random(1)
     emails = sorted({f"{chr(97 + r.randrange(26))}@m.example.com" for _ in range(200)} | {f"{chr(97 + r.randrange(26))}{r.randrange(10)}@m.example.com" for _ in range(150)})
     found = spark.createDataFrame([("email", e) for e in emails], "kind string, canonical string")
-    table = pii.surrogate_table(found).collect()
+    table = pii.surrogate_table(found, b"key").collect()
     drawn = [x.drawn for x in table]
     assert len(drawn) == len(emails) == len(set(drawn)) and not set(drawn) & set(emails)
     assert any(x.attempt for x in table)
@@ -114,9 +114,9 @@ def test_surrogates_are_distinct_and_no_entities(spark):
 def test_redrawn_surrogates_by_join_are_the_same(spark, monkeypatch):
     text = [(i, f"write {chr(97 + i % 26)}{'' if i < 26 else i}@m.example.com today") for i in range(60)]
     df = spark.createDataFrame(text, "doc_id long, text string")
-    sent = {k: r.text for k, r in by_id(pii.pseudonyms(df)).items()}
+    sent = {k: r.text for k, r in by_id(pii.pseudonyms(df, b"key")).items()}
     monkeypatch.setattr(pii, "SENT", -1)
-    assert {k: r.text for k, r in by_id(pii.pseudonyms(df)).items()} == sent
+    assert {k: r.text for k, r in by_id(pii.pseudonyms(df, b"key")).items()} == sent
     assert len(set(sent.values())) == 60
 
 
