@@ -1,10 +1,11 @@
 """Quality rules with a verdict on hosts: native DataFrame functions only.
 
-Base rules count what is wrong within one text.  Hosts (here the `source` of a
-document) are judged by the share of their documents that fail: the share is
-shrunk with a beta prior fitted to all hosts by moments, so that a host with a
-few documents needs more evidence than one with many.  Verdicts go back to the
-documents by a join.
+Rules look at what is wrong within one text.  Hosts (here the `source` of a
+document) are judged rule by rule: the share of their documents that fail has a
+beta prior fitted to all hosts by moments, so that a host with a few documents
+needs more evidence than one with many.  A host is rejected where its posterior
+leaves no doubt (SURE standard deviations) that its share is over TIMES that of
+the corpus, and over LEAST_RATE.  Verdicts go back to the documents by a join.
 """
 
 from __future__ import annotations
@@ -15,8 +16,14 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW = 5
-#: A host is rejected if its shrunken share of failing documents is above this.
-MOST_FAILING = 0.5
+#: What a document fails, over its base counts. The first two are the base rules, which also decide on the document.
+RULES = {
+    "short": "n_words < 10",
+    "repeats": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "20 * n_dup_lines > n_words",
+}
+TIMES, LEAST_RATE, SURE = 3.0, 0.3, 2.33
 WEAKEST, STRONGEST = 2.0, 10000.0
 
 
@@ -44,29 +51,38 @@ def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     d = d.select(*counts, F.expr("sort_array(transform(filter(s, (e, k) -> coalesce(get(s, k - 1).x = e.x, false) or coalesce(get(s, k + 1).x = e.x, false)), e -> e.i))").alias("p"))
     covered = f"aggregate(transform(p, (e, k) -> least({WINDOW}, coalesce(get(p, k + 1) - e, {WINDOW}))), 0L, (n, e) -> n + e)"
     d = d.select(*counts, F.expr(f"coalesce({covered}, 0L)").alias("n_repeat_words"))
-    failed: Column = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed: Column = F.expr(f"({RULES['short']}) or ({RULES['repeats']})")
     return d.select(F.col("k").alias(key), *counts[1:], "n_repeat_words", failed.alias("base_failed"))
 
 
-def host_verdicts(counts: DataFrame, most: float = MOST_FAILING) -> DataFrame:
-    """(host, rate, host_kept): the shrunken share of failing documents, for every host.
+def host_verdicts(counts: DataFrame) -> DataFrame:
+    """(host, host_rule, host_rate) for every host: the first rule that rejects it, if any, and its greatest shrunken share.
 
     With mean share m over all documents and variance v between hosts (the
-    variance of their shares less what chance gives), the prior's strength is
-    m (1 - m) / v - 1, held between WEAKEST and STRONGEST.
+    variance of their shares less what chance gives), a rule's prior has the
+    strength m (1 - m) / v - 1, held between WEAKEST and STRONGEST.
     """
-    hosts = counts.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("bad"))
-    total = hosts.agg(F.sum("n").alias("docs"), F.sum("bad").alias("bad"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("squares"), F.count(F.lit(1)).alias("hosts")).first()
-    m = (total.bad or 0) / (total.docs or 1)
-    noise = m * (1 - m)
-    between = (total.squares or 0.0) / (total.docs or 1) - m * m - noise * total.hosts / (total.docs or 1)
-    strength = min(STRONGEST, max(WEAKEST, noise / between - 1)) if between > 0 else STRONGEST
-    rate = (F.col("bad") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.select("host", rate.alias("rate"), (rate <= most).alias("host_kept"))
-
-
-def quality_rules(docs: DataFrame, most: float = MOST_FAILING, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Per row: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate.
+    bad = [F.count_if(F.expr(rule)).alias(name) for name, rule in RULES.items()]
+    hosts = counts.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), *bad)
+    squares = [F.sum(F.col(x) * F.col(x) / F.col("n")).alias(f"{x}_squares") for x in RULES]
+    total = hosts.agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("hosts"), *(F.sum(x).alias(x) for x in RULES), *squares).first()
+    docs = total.docs or 1
+    judged, rates = [], []
+    for name in RULES:
+        m = (total[name] or 0) / docs
+        noise = m * (1 - m)
+        between = (total[f"{name}_squares"] or 0.0) / docs - m * m - noise * total.hosts / docs
+        strength = min(STRONGEST, max(WEAKEST, noise / between - 1)) if between > 0 else STRONGEST
+        a, b = F.col(name) + F.lit(m * strength), F.col("n") - F.col(name) + F.lit((1 - m) * strength)
+        rate = a / (a + b)
+        bound = rate - SURE * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+        judged.append(F.when(bound > max(TIMES * m, LEAST_RATE), F.lit(name)))
+        rates.append(rate)
+    return hosts.select("host", F.coalesce(*judged).alias("host_rule"), F.greatest(*rates).alias("rate"))
+
+
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Per row: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules, host_rule, host_rate.
 
     Null and empty texts have no words and fail.  A null host has no verdict
     (host_rate is null): the base rules alone decide.  Repeated rows each count
@@ -75,9 +91,11 @@ def quality_rules(docs: DataFrame, most: float = MOST_FAILING, key: str = "doc_i
     """
     counts = written(base_counts(docs, key, text, host), "counts")
     # a written table: its size is known when the join is planned, so few hosts need no exchange of the documents
-    joined = counts.join(written(host_verdicts(counts, most), "hosts"), "host", "left")
-    kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
-    return joined.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("rate", 6).alias("host_rate"))
+    joined = counts.join(written(host_verdicts(counts), "hosts"), "host", "left")
+    kept = ~F.col("base_failed") & F.col("host_rule").isNull()
+    failed = F.concat_ws(",", *(F.when(F.expr(rule), F.lit(name)) for name, rule in RULES.items()))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return joined.select(key, *base, kept.alias("kept"), failed.alias("failed_rules"), "host_rule", F.round("rate", 6).alias("host_rate"))
 
 
 SQL = rf"""
@@ -94,12 +112,15 @@ c AS (
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
          len(w) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(w) AS base_failed
   FROM d LEFT JOIN covered USING (doc_id)),
-h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM c WHERE host IS NOT NULL GROUP BY host),
-m AS (SELECT sum(bad) / CAST(sum(n) AS DOUBLE) AS m, sum(bad * bad / CAST(n AS DOUBLE)) / sum(n) AS squares, count(*) / CAST(sum(n) AS DOUBLE) AS noise FROM h),
-s AS (SELECT m, squares - m * m - m * (1 - m) * noise AS between_hosts FROM m),
-p AS (SELECT m, CASE WHEN between_hosts > 0 THEN least({STRONGEST}, greatest({WEAKEST}, m * (1 - m) / between_hosts - 1)) ELSE {STRONGEST} END AS strength FROM s),
-v AS (SELECT host, (bad + m * strength) / (n + strength) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(rate <= {MOST_FAILING}, true) AS kept, round(rate, 6) AS host_rate
+r AS ({" UNION ALL ".join(f"SELECT host, {k} AS k, '{name}' AS rule, CAST({rule} AS INT) AS failed FROM c WHERE host IS NOT NULL" for k, (name, rule) in enumerate(RULES.items()))}),
+h AS (SELECT host, k, rule, count(*) AS n, sum(failed) AS bad FROM r GROUP BY host, k, rule),
+m AS (SELECT rule, sum(bad) / CAST(sum(n) AS DOUBLE) AS m, sum(bad * bad / CAST(n AS DOUBLE)) / sum(n) AS squares, count(*) / CAST(sum(n) AS DOUBLE) AS noise FROM h GROUP BY rule),
+s AS (SELECT rule, m, squares - m * m - m * (1 - m) * noise AS between_hosts FROM m),
+p AS (SELECT rule, m, CASE WHEN between_hosts > 0 THEN least({STRONGEST}, greatest({WEAKEST}, m * (1 - m) / between_hosts - 1)) ELSE {STRONGEST} END AS strength FROM s),
+ab AS (SELECT host, k, rule, m, bad + m * strength AS a, n - bad + (1 - m) * strength AS b FROM h JOIN p USING (rule)),
+b AS (SELECT host, k, rule, a / (a + b) AS rate, a / (a + b) - {SURE} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > greatest({TIMES} * m, {LEAST_RATE}) AS bad FROM ab),
+v AS (SELECT host, arg_min(rule, k) FILTER (bad) AS host_rule, max(rate) AS rate FROM b GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rule IS NULL AS kept,
+       concat_ws(',', {", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in RULES.items())}) AS failed_rules, host_rule, round(rate, 6) AS host_rate
 FROM c LEFT JOIN v USING (host)
 """

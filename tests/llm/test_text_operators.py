@@ -167,6 +167,17 @@ def test_bad_host_is_rejected_and_good_one_kept(spark):
     assert all(got[i].kept for i in range(100)) and not any(got[100 + i].kept for i in range(40))
 
 
+def test_host_verdicts_need_evidence_and_name_the_rule(spark):
+    """A host of symbols goes by that rule though its documents pass the base rules; three bad documents are too few."""
+    good = [(i, prose(i, 60), f"g{i % 10}") for i in range(300)]
+    loud = [(1000 + i, prose(i, 60) + " ###### $$$", "loud") for i in range(40)]
+    few = [(2000 + i, "too short", "few") for i in range(3)]
+    got = by_id(rules.quality_rules(spark.createDataFrame(good + loud + few, "doc_id long, text string, source string")))
+    assert all(got[i].kept and got[i].host_rule is None and got[i].failed_rules == "" for i in range(300))
+    assert all(not x.base_failed and not x.kept and x.host_rule == "symbols" and x.failed_rules == "symbols" for x in (got[1000 + i] for i in range(40)))
+    assert all(x.base_failed and x.host_rule is None and x.failed_rules == "short" for x in (got[2000 + i] for i in range(3)))
+
+
 def test_fm_index_finds_all_occurrences():
     r = np.random.default_rng(3)
     text = r.integers(0, 5, 4000)
