@@ -1,13 +1,16 @@
 """Token counts: batch encoding in Arrow functions that returns lengths only.
 
 Each text is split at spaces and newlines, where the tokenizer never joins
-tokens, so a long text never reaches the library whole.  The distinct pieces a
-worker has not met yet are encoded in batches of about equal bytes; only their
-lengths are kept.
+tokens, and a long stretch without them where a digit or a mark of East Asian
+punctuation meets a letter or digit, so a long text never reaches the library
+whole (but for a run of letters alone, which is one word to the tokenizer).
+The distinct pieces a worker has not met yet are encoded in batches of about
+equal bytes; only their lengths are kept.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,24 +21,41 @@ from .common import bounded_batches, utf8_bytes, worker_cache
 TOKENIZER = "word_bpe_49k.json"
 BATCH_BYTES = 1 << 20
 MEMO_PIECES = 400_000
+#: Characters from which on a piece without spaces is cut further.
+LONG_PIECE = 4096
+#: Between two characters that are never in one token, nor composed with each other.
+_SAFE = re.compile(r"(?<=[0-9。，、！？；：「」])(?=[^\W_])")
 
 
 def byte_balanced(pieces: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Batches of at most `limit` characters; a longer piece is a batch of its own."""
+    """Batches of at most `limit` bytes; a longer piece is a batch of its own."""
     batch, size = [], 0
     for piece in pieces:
-        if batch and size + len(piece) > limit:
+        own = len(piece.encode())
+        if batch and size + own > limit:
             yield batch
             batch, size = [], 0
         batch.append(piece)
-        size += len(piece)
+        size += own
     if batch:
         yield batch
 
 
+def cut_long(piece: str) -> list[str]:
+    """A piece in parts of LONG_PIECE characters, or up to the next safe place after so many."""
+    out, at = [], 0
+    while len(piece) - at > LONG_PIECE and (place := _SAFE.search(piece, at + LONG_PIECE)):
+        out.append(piece[at : place.start()])
+        at = place.start()
+    return [*out, piece[at:]]
+
+
 def pieces_of(text: str) -> list[str]:
     """Cut at spaces and newlines; any other white space stays inside a piece."""
-    return text.replace("\n", " ").split(" ")
+    pieces = text.replace("\n", " ").split(" ")
+    if len(text) > LONG_PIECE and max(map(len, pieces)) > LONG_PIECE:
+        return [part for piece in pieces for part in (cut_long(piece) if len(piece) > LONG_PIECE else (piece,))]
+    return pieces
 
 
 class PieceLengths:
@@ -62,12 +82,12 @@ class PieceLengths:
                 self.memo[piece] = len(got)
 
 
-def groups_by_bytes(texts: list[str | None], limit: int = 4 * BATCH_BYTES) -> Iterator[list[str]]:
-    """Runs of neighbouring texts with about `limit` characters each."""
+def groups_by_bytes(texts: list[str | None], sizes: list[int], limit: int = 4 * BATCH_BYTES) -> Iterator[list[str]]:
+    """Runs of neighbouring texts with about `limit` bytes each."""
     group, size = [], 0
-    for text in texts:
+    for text, own in zip(texts, sizes, strict=True):
         group.append(text or "")
-        size += len(group[-1])
+        size += own
         if size >= limit:
             yield group
             group, size = [], 0
@@ -91,13 +111,14 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = 2048,
         known = worker_cache(f"lengths_{tokenizer}", lambda: PieceLengths(public_tokenizers.path(tokenizer)))
         for batch in batches:
             counts: list[int] = []
-            for group in groups_by_bytes(batch.column(1).to_pylist()):
+            sizes = [len(x) for x in utf8_bytes(batch.column(1))]
+            for group in groups_by_bytes(batch.column(1).to_pylist(), sizes):
                 split = [pieces_of(x) for x in group]
                 known.learn(set().union(*split))
                 length = known.memo.__getitem__
                 counts += [sum(map(length, pieces)) for pieces in split]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in utf8_bytes(batch.column(1))], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 names=[key, "n_bytes", "n_tokens", "over_limit"],
             )
 

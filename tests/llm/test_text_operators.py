@@ -17,7 +17,7 @@ from regspark.llm.decontaminate import FMIndex, contamination, contamination_dig
 from regspark.llm.packing import Bins, Encoder, pack_sequences
 from regspark.llm.simhash import near_duplicates, near_links, one_of_each, stars
 from regspark.llm.substring_dedup import cut_repeats
-from regspark.llm.token_counts import count_tokens
+from regspark.llm.token_counts import byte_balanced, count_tokens, pieces_of
 
 from .conftest import by_id, prose
 
@@ -101,6 +101,18 @@ def test_token_counts_of_odd_texts(spark):
     assert [got[i].n_tokens for i in range(len(odd))] == [len(library.encode(t, add_special_tokens=False)) for t in odd]
 
 
+def test_token_counts_of_long_texts_without_spaces(spark):
+    r = random.Random(12)
+    chinese = "".join(r.choice("的一是不了人我在有他这中大来上国") * (r.random() < 0.9) or r.choice("。，？") for _ in range(40_000))
+    base64 = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=60_000))
+    odd = [chinese, base64, "7" * 20_000, "0é" * 9000, "0e\u0301" * 9000, "x'9s's0'll" * 2000, "ΑΣ0ΒΣ" * 3000, "<|endoftext|>0a" * 1000, "中文。" * 4000 + "'s"]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = by_id(count_tokens(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")))
+    assert [got[i].n_tokens for i in range(len(odd))] == [len(library.encode(t, add_special_tokens=False)) for t in odd]
+    assert all(max(map(len, pieces_of(t))) < 4400 for t in (chinese, base64, odd[2], odd[3]))
+    assert [sum(len(x.encode()) for x in b) <= 1000 for b in byte_balanced(["中" * 100] * 30, 1000)] == [True] * 10
+
+
 def test_suffix_dedup_equals_brute_force(docs, rows):
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     starts = collections.Counter(t[i : i + 400] for _, t in data for i in range(len(t) - 399))
