@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
 
+#: Letters of a vocabulary word or unknown piece at most; longer runs are several of them.
 LONGEST_WORD = 20
 NUMBER = "#"
 
