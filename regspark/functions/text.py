@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Boundary and reference patterns (line ends are \n only).
 ARTICLE = r"(?md)^((?:Article|Art\.)\s+\d+[a-z]?)\b"
+#: Sources whose articles have a form of their own.
+OWN_ARTICLE = {"gdpr": r"(?md)^(Article\s+\d+)\b", "fadp": r"(?md)^(Art\.\s+\d+[a-z]?)\b"}
 CHAPTER = r"(?md)^(CHAPTER\s+[IVXLCDM]+)"
 SECTION = r"(?md)^(Section\s+\d+)"
 HEADING = r"(?md)^(\d+(?:\.\d+)*)\s+[A-Z]"

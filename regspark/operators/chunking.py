@@ -8,6 +8,8 @@ which computes it twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions import text as tx
 
 MAX_TOKENS, OVERLAP_TOKENS, LEAST_TOKENS = 512, 64, 20
 LOOK_BACK = 500
+BLOCK = 128
 
 
 def window_sizes(max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> tuple[int, int]:
@@ -30,14 +33,26 @@ def lookahead(pattern: str) -> str:
     return f"{flags})(?={rest})"
 
 
+def by_source(of: Callable[[str], str], source: Column | None) -> Column:
+    """of(pattern) for the article pattern of a source: its own, or the one of all forms."""
+    out = F.lit(of(tx.ARTICLE))
+    for name, pattern in tx.OWN_ARTICLE.items() if source is not None else ():
+        out = F.when(source == name, F.lit(of(pattern))).otherwise(out)
+    return out
+
+
 def parts(text: Column, pattern: str) -> Column:
     """The text cut before each match; what stands before the first match is the first part."""
     return F.split(text, lookahead(pattern))
 
 
+def at_start(pattern: str) -> str:
+    return pattern.replace("(?md)^", r"(?md)\A", 1)
+
+
 def label_of(part: Column, pattern: str) -> Column:
     """The label that a part starts with, null if it does not start with a match."""
-    return F.nullif(F.regexp_extract(part, pattern.replace("(?md)^", r"(?md)\A", 1), 1), F.lit(""))
+    return F.nullif(F.regexp_extract(part, at_start(pattern), 1), F.lit(""))
 
 
 def windows(text: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> Column:
@@ -51,21 +66,42 @@ def windows(text: Column, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OV
     return tx.let(tx.words(text), of)
 
 
-def placed_parts(text: Column, pattern: str) -> Column:
-    """Array of (part, label, start): the parts with the label they begin with, if any, and their offsets."""
+def running_sums(sizes: Column) -> Column:
+    """For each element the sum of those before it, by sums of blocks, so that no long prefix is summed per element."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def of(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(all_) - 1, F.lit(BLOCK)), lambda at: total(F.slice(all_, at + 1, F.lit(BLOCK))))
+
+        def within(sums: Column) -> Column:
+            starts = F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k)))
+            start = lambda s, i: F.get(s, F.floor(i / BLOCK).cast("int")) + total(F.slice(all_, i - F.pmod(i, F.lit(BLOCK)) + 1, F.pmod(i, F.lit(BLOCK))))
+            return tx.let(starts, lambda s: F.transform(all_, lambda _, i: start(s, i)))
+
+        return tx.let(blocks, within)
+
+    return tx.let(sizes, of)
+
+
+def placed_parts(text: Column, source: Column | None = None) -> Column:
+    """Array of (part, label, start): the text cut before each article, with the article's label, if any, and its offset."""
 
     def of(cut: Column) -> Column:
-        def offsets(sizes: Column) -> Column:
-            return F.transform(cut, lambda p, i: F.struct(p.alias("part"), label_of(p, pattern).alias("label"), F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x).alias("start")))
+        def label(p: Column) -> Column:
+            return F.nullif(F.call_function("regexp_extract", p, by_source(at_start, source), F.lit(1)), F.lit(""))
 
-        return tx.let(F.transform(cut, lambda p: F.length(p)), offsets)
+        starts = running_sums(F.transform(cut, lambda p: F.length(p)))
+        return tx.let(starts, lambda s: F.transform(cut, lambda p, i: F.struct(p.alias("part"), label(p).alias("label"), F.get(s, i).alias("start"))))
 
-    return tx.let(parts(text, pattern), of)
+    return tx.let(F.split(text, by_source(lookahead, source), -1), of)
 
 
-def regex_spans(docs: DataFrame, pattern: str = tx.ARTICLE, text: str = "full_text") -> DataFrame:
-    """(all columns but the text, position from 1, label, start, span) for every match of a boundary."""
-    spans = F.filter(placed_parts(F.col(text), pattern), lambda s: s["label"].isNotNull())
+def regex_spans(docs: DataFrame, text: str = "full_text") -> DataFrame:
+    """(all columns but the text, position from 1, label, start, span) for every article, as its source writes them."""
+    source = F.col("source_id") if "source_id" in docs.columns else None
+    spans = F.filter(placed_parts(F.col(text), source), lambda s: s["label"].isNotNull())
     each = docs.select(*(c for c in docs.columns if c != text), F.posexplode_outer(spans).alias("_k", "_s")).where("_k is not null")
     return each.withColumn("position", F.col("_k") + 1).select("*", "_s.label", "_s.start", F.col("_s.part").alias("span")).drop("_k", "_s")
 
@@ -110,38 +146,53 @@ def recital_chunks(preamble: Column) -> Column:
     return tx.let(numbered_parts(preamble, tx.RECITAL), lambda n: F.when(F.size(n) == 0, whole).otherwise(F.transform(n, one)))
 
 
+def last_match(text: Column, pattern: str) -> Column:
+    return F.element_at(F.concat(F.array(_null()), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), -1)
+
+
 def carried(labels: Column) -> Column:
-    """Each element or else the last one before it that is not null."""
+    """Each element or else the last one before it that is not null: every one that is not null, as often as its turn lasts."""
 
     def of(all_: Column) -> Column:
-        return F.transform(all_, lambda _, i: F.element_at(F.concat(F.array(_null()), F.filter(F.slice(all_, F.lit(1), i + 1), lambda x: x.isNotNull())), -1))
+        places = F.filter(F.transform(all_, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
 
-    return tx.let(labels, of)
+        def repeated(at: Column) -> Column:
+            turn = F.flatten(F.transform(at, lambda p, k: F.array_repeat(F.get(all_, p), F.coalesce(F.get(at, k + 1), F.size(all_)) - p)))
+            return F.concat(F.array_repeat(_null(), F.coalesce(F.get(at, F.lit(0)), F.size(all_))), turn)
 
+        return tx.let(places, repeated)
 
-def last_match(text: Column, pattern: str) -> Column:
-    return F.element_at(F.concat(F.array(_null()), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), -1)
+    return tx.let(labels, of)
 
 
 def headed_spans(docs: DataFrame) -> DataFrame:
-    """Adds `_pre` (stripped text before the first article) and `_spans` (label, text, chapter, section per article)."""
-    text = F.col("full_text")
+    """Adds `_pre` (stripped text before the first article) and `_spans` (label, text, chapter, section per article).
+
+    Chapter and section are the last that stand in the LOOK_BACK characters
+    before an article, or else those of the article before.
+    """
+    most = LOOK_BACK // len("Art. 1") + 1  # so many parts have these characters
 
     def of(placed: Column) -> Column:
         first = F.get(placed, F.lit(0))
         pre = F.when(first["label"].isNull(), tx.strip(first["part"]))
 
-        def with_headings(spans: Column) -> Column:
-            def before(s: Column) -> Column:
-                return F.substring(text, F.greatest(F.lit(0), s["start"] - LOOK_BACK) + 1, F.least(s["start"], F.lit(LOOK_BACK)))
+        def before(i: Column) -> Column:
+            near = F.slice(placed, F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most)))
+            last = F.get(placed, i - 1)["part"]
+            return F.right(F.when(F.length(last) >= LOOK_BACK, last).otherwise(F.array_join(F.transform(near, lambda p: p["part"]), "")), F.lit(LOOK_BACK))
+
+        def headings(pattern: str) -> Column:
+            return carried(F.transform(placed, lambda p, i: F.when(p["label"].isNotNull() & (i > 0), last_match(before(i), pattern))))
 
-            chapters = carried(F.transform(spans, lambda s: last_match(before(s), tx.CHAPTER)))
-            sections = carried(F.transform(spans, lambda s: last_match(before(s), tx.SECTION)))
-            return tx.let(chapters, lambda c: tx.let(sections, lambda e: F.transform(spans, lambda s, i: F.struct(s["label"].alias("label"), tx.strip(s["part"]).alias("text"), F.get(c, i).alias("chapter"), F.get(e, i).alias("section")))))
+        def with_headings(chapters: Column, sections: Column) -> Column:
+            each = F.transform(placed, lambda s, i: F.struct(s["label"].alias("label"), tx.strip(s["part"]).alias("text"), F.get(chapters, i).alias("chapter"), F.get(sections, i).alias("section")))
+            return F.filter(each, lambda s: s["label"].isNotNull())
 
-        return F.struct(pre.alias("pre"), tx.let(F.filter(placed, lambda s: s["label"].isNotNull()), with_headings).alias("spans"))
+        spans = tx.let(headings(tx.CHAPTER), lambda c: tx.let(headings(tx.SECTION), lambda e: with_headings(c, e)))
+        return F.struct(pre.alias("pre"), spans.alias("spans"))
 
-    d = docs.withColumn("_h", tx.let(placed_parts(text, tx.ARTICLE), of))
+    d = docs.withColumn("_h", tx.let(placed_parts(F.col("full_text"), F.col("source_id")), of))
     return d.select(*docs.columns, F.col("_h.pre").alias("_pre"), F.col("_h.spans").alias("_spans"))
 
 
