@@ -41,7 +41,7 @@ CORE = LENGTH - SLICE + 1
 #: Suffixes that a scan handles at once; longer texts go in overlapping parts.
 PART = 1 << 22
 #: Slices with one core that are taken apart in one bucket; a core with more is split by longer tokens.
-CROWD = 128
+CROWD = 2048
 #: Slices, or suffixes, that a bucket holds on average.
 BUCKET = 400_000
 TABLE = np.random.Generator(np.random.PCG64(42)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
