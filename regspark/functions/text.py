@@ -24,6 +24,24 @@ UNCERTAIN = (
     "insufficient evidence", "not enough information", "cannot determine", "unable to answer", "no specific provision",
     "not addressed", "does not contain sufficient", "beyond the scope", "no information", "cannot find",
 )
+#: What an answer says that expresses uncertainty, for scoring it.
+UNCERTAINTY = (
+    "insufficient evidence", "not enough information", "cannot determine", "cannot be determined", "unable to answer", "unable to provide",
+    "no specific provision", "not addressed", "not specifically address", "not contain sufficient", "does not contain",
+    "beyond the scope", "not available in", "not included in",
+    "no mention", "not mentioned", "context does not", "provided context does not", "no information", "cannot find", "not found in",
+    "does not specifically", "no direct", "not directly",
+)
+#: Names for display.
+AUTHORITIES = {"statute": "Statute", "guidance": "Regulator Guidance", "commentary": "Commentary"}
+SOURCES = {
+    "GDPR": "GDPR",
+    "FADP": "Swiss FADP",
+    "EDPB_CONSENT": "EDPB Guidelines on Consent",
+    "EDPB_ARTICLE48": "EDPB Guidelines on Article 48 Transfers",
+    "EDPB_LEGITIMATE_INTEREST": "EDPB Guidelines on Legitimate Interest",
+    "FDPIC_TECHNICAL_MEASURES": "FDPIC Guide to Technical Measures",
+}
 TOKENS_PER_WORD = 1.3
 
 
@@ -104,6 +122,14 @@ def says_any(text: Column, phrases: tuple[str, ...] = UNCERTAIN) -> Column:
     return out
 
 
+def named(value: Column, names: dict[str, str]) -> Column:
+    """The name of a value for display, or the value."""
+    out = value
+    for k, v in names.items():
+        out = F.when(value == k, F.lit(v)).otherwise(out)
+    return out
+
+
 def location(*parts: Column) -> Column:
     """Non-empty parts joined by ' > '."""
     return F.coalesce(F.nullif(F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), " > "), F.lit("")), F.lit("(no location)"))

@@ -21,7 +21,7 @@ def passage(source: Column, article: Column, section: Column, kind: Column, rank
 
 def benchmark_passage(source: Column, parts: list[Column], rank: Column, text: Column, most: int = 800) -> Column:
     place = F.coalesce(F.nullif(F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), ", "), F.lit("")), F.lit("General"))
-    return F.concat(F.lit("["), rank.cast("string"), F.lit("] Source: "), F.upper(source), F.lit(", "), place, F.lit('\n"'), tx.truncated(tx.strip(text), most), F.lit('"'))
+    return F.concat(F.lit("["), rank.cast("string"), F.lit("] Source: "), tx.named(F.upper(source), tx.SOURCES), F.lit(", "), place, F.lit('\n"'), tx.truncated(tx.strip(text), most), F.lit('"'))
 
 
 def benchmark_prompt(context: Column, question: Column) -> Column:

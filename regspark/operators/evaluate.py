@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as sc
@@ -36,7 +38,7 @@ def answer_scores(answers: DataFrame) -> DataFrame:
 
     Rows have (response_text, expected array, evidence_sufficient).
     """
-    d = answers.withColumn("found", tx.citations(F.col("response_text"))).withColumn("expressed_uncertainty", tx.says_any(F.col("response_text")))
+    d = answers.withColumn("found", tx.citations(F.col("response_text"))).withColumn("expressed_uncertainty", tx.says_any(F.col("response_text"), tx.UNCERTAINTY))
     return d.select(
         "*", F.round(sc.citation_precision(F.col("found"), F.col("expected")), 3).alias("citation_precision"), F.round(sc.citation_recall(F.col("found"), F.col("expected")), 3).alias("citation_recall"),
         (F.col("expressed_uncertainty") != F.col("evidence_sufficient")).alias("calibration_correct"),
@@ -69,16 +71,21 @@ def transcript_scores(rows: DataFrame) -> DataFrame:
     return d.select(*rows.columns, sc.word_error_rate(F.col("_t"), F.col("_h")).alias("wer"), entity.alias("entity_wer"), sc.fabricated(F.col("_t"), F.col("_h")).alias("fabricated"))
 
 
+def _share(documents: DataFrame, truth: DataFrame, column: str, holds: Callable[[Column], Column], name: str) -> DataFrame:
+    """Per document the share of its truth values that hold; 1 without any. The values meet each text once."""
+    own = truth.where(F.col(column).isNotNull()).groupBy("source_id").agg(F.collect_list(column).alias("_own"))  # annotations of one document
+    d = documents.select("source_id", "full_text").join(own, "source_id", "left")
+    return d.select("source_id", F.coalesce(F.size(F.filter("_own", lambda n: F.coalesce(holds(n), F.lit(False)))) / F.size("_own"), F.lit(1.0)).alias(name))
+
+
 def named_share(documents: DataFrame, truth: DataFrame, column: str, name: str) -> DataFrame:
     """The share of a document's numbers that its text names as 'Article n' or 'Art. n'; 1 without any."""
-    d = documents.select("source_id", "full_text").join(truth.select("source_id", column), "source_id", "left")
-    found = F.contains("full_text", F.concat(F.lit("Article "), column)) | F.contains("full_text", F.concat(F.lit("Art. "), column))
-    return d.groupBy("source_id").agg(F.coalesce(F.avg(F.when(F.col(column).isNotNull(), found.cast("int"))), F.lit(1.0)).alias(name))
+    says = lambda n: F.contains(F.col("full_text"), F.concat(F.lit("Article "), n)) | F.contains(F.col("full_text"), F.concat(F.lit("Art. "), n))
+    return _share(documents, truth, column, says, name)
 
 
 def footnote_rate(documents: DataFrame, truth: DataFrame) -> DataFrame:
-    d = documents.select("source_id", "full_text").join(truth.select("source_id", "note"), "source_id", "left")
-    return d.groupBy("source_id").agg(F.coalesce(F.avg(F.when(F.col("note").isNotNull(), F.contains("full_text", F.substring("note", 1, 30)).cast("int"))), F.lit(1.0)).alias("footnote_rate"))
+    return _share(documents, truth, "note", lambda n: F.contains(F.col("full_text"), F.substring(n, 1, 30)), "footnote_rate")
 
 
 def table_recall(truth: DataFrame, found: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 
+#: Queries that are sent to all tasks at once.
+SENT = 10_000
+
+
 def any_of(column: str, values: list | None) -> Column:
     """True for no list or an empty one."""
     return F.col(column).isin(values) if values else F.lit(True)
@@ -22,11 +26,18 @@ def metadata_filter(df: DataFrame, sources: list[str] | None = None, jurisdictio
 def similarities(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query columns, corpus columns, similarity) of a stated query set (query_id, query_vec) against all rows (chunk_id, vec).
 
-    The query set is the small side by contract; norms are computed once per vector.
+    Up to SENT queries are sent to all tasks; more are dealt to blocks of that
+    size, each of which meets all rows.  Norms are computed once per vector.
     """
     q = queries.withColumn("_nq", vx.norm(F.col("query_vec")))
     c = corpus.withColumn("_nc", vx.norm(F.col("vec")))
-    return c.join(F.broadcast(q)).withColumn("similarity", vx.cosine(F.col("query_vec"), F.col("vec"), F.col("_nq"), F.col("_nc"))).drop("_nq", "_nc", "query_vec", "vec")
+    blocks = -(-queries.count() // SENT)
+    if blocks <= 1:
+        pairs = c.join(F.broadcast(q))
+    else:
+        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        pairs = c.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "_block").drop("_block")
+    return pairs.withColumn("similarity", vx.cosine(F.col("query_vec"), F.col("vec"), F.col("_nq"), F.col("_nc"))).drop("_nq", "_nc", "query_vec", "vec")
 
 
 def ranked(pairs: DataFrame, tie: str = "chunk_id") -> DataFrame:

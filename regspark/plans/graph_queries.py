@@ -18,13 +18,13 @@ _NODES = with_(LEGAL, SPANS, CHUNKS, ARTICLES)
 
 
 class Graph:
-    """The tables of the derived corpus. Chunks are a stored table: nodes and all edges read them."""
+    """The tables of the derived corpus. Chunks, nodes and edges are stored tables, each computed once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = legal_docs(spark, sf_dir)
         self.chunks = ch.chunk_corpus(self.docs).select("source_id", "instrument_type", "chunk_index", "text", "article", "chapter", "section", "cross_references")
         self.chunks = stored(self.chunks, "chunks")
-        self.nodes = g.articles(self.chunks)
+        self.nodes = stored(g.articles(self.chunks), "articles")
         self.statutes = statutes(self.docs)
 
     def references(self) -> DataFrame:
@@ -42,7 +42,7 @@ class Graph:
         for kind, df in kinds:
             rows = df.select("src", "dst", F.lit(kind).alias("type"))
             out = rows if out is None else out.unionByName(rows)
-        return out
+        return stored(out, "edges")
 
 
 @query(_NODES + "SELECT node_id, source_id, article_label, chapter, section, md5(full_text) AS text_md5 FROM articles")
@@ -139,22 +139,19 @@ _HOPS = r"""hops AS (
 @query("WITH RECURSIVE " + ",\n".join((*GRAPH, _SEEDS, _HOPS)) + "\nSELECT DISTINCT h.seed, r.src, r.dst FROM hops h JOIN refers r ON r.src = h.src WHERE h.d <= 2")
 def k_hop_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    return g.k_hops(_seeds(graph), graph.references(), 3)
+    return g.k_hops(_seeds(graph), stored(graph.references().select("src", "dst"), "references"), 3)
 
 
 @query(
-    with_(*GRAPH, "seeds AS (SELECT 'q' || (row_number() OVER (ORDER BY node_id)) AS query_id, node_id AS ref FROM articles WHERE article_label IN ('Article 3', 'Art. 3'))", _CONTEXT)
+    with_(*GRAPH, "seeds AS (SELECT 'about ' || node_id AS query_id, node_id AS ref FROM articles WHERE article_label IN ('Article 3', 'Art. 3'))", _CONTEXT)
     + r"""SELECT query_id, 'article_context' AS kind, ref, type, "from", "to" FROM seeds JOIN around ON seed = ref
 UNION SELECT query_id, 'equivalent_article', e.dst, a.type, a."from", a."to" FROM seeds JOIN (SELECT src, dst FROM equals UNION SELECT dst, src FROM equals) e ON e.src = ref JOIN around a ON a.seed = e.dst
 UNION SELECT query_id, 'guidance_citations', ref, 'CITES', c.src, c.dst FROM seeds JOIN citing c ON c.dst = ref"""
 )
 def expand_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     graph = Graph(spark, sf_dir)
-    seeds = _seeds(graph)
-    numbered = seeds.select(F.concat(F.lit("q"), F.row_number().over(Window.orderBy("node_id")).cast("string")).alias("query_id"), F.col("node_id").alias("ref"))
-    return g.expanded(numbered, graph.edges(), graph.nodes)
+    named = _seeds(graph).select(F.concat(F.lit("about "), "node_id").alias("query_id"), F.col("node_id").alias("ref"))
+    return g.expanded(named, graph.edges(), graph.nodes)
 
 
 @query(with_(*GRAPH) + "SELECT src, dst, type FROM edges WHERE type <> 'CONTAINS' AND src IN (SELECT node_id FROM articles) AND dst IN (SELECT node_id FROM articles)")
@@ -184,12 +181,12 @@ def extract_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 100000), '[\\"\x00-\x1f]', ' ', 'g') AS t FROM documents WHERE doc_id % 4 < 2),
+    r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\"\x00-\x1f]', ' ', 'g') AS t FROM documents WHERE doc_id % 4 < 2),
     s AS (SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS d FROM t)
     SELECT substr(sha256('doc' || doc_id || ':Article 1:' || substr(d, 1, 50)), 1, 16) AS node_id, md5(substr(d, 1, 300)) AS description_md5, CASE WHEN doc_id % 4 = 0 THEN 'right' ELSE 'obligation' END AS obligation_type, 'controller' AS subject FROM s WHERE d <> ''"""
 )
 def parse_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, "documents").selectExpr("doc_id", "regexp_replace(substr(coalesce(text, ''), 1, 100000), '[\\\\\\\\\"\\\\x00-\\\\x1f]', ' ') AS t")
+    d = view(spark, sf_dir, "documents").selectExpr("doc_id", "regexp_replace(coalesce(text, ''), '[\\\\\\\\\"\\\\x00-\\\\x1f]', ' ') AS t")
     response = F.expr(
         "CASE doc_id % 4 WHEN 0 THEN concat('```json\\n[{\"description\": \"', t, '\", \"type\": \"Right\", \"subject\": \"controller\"}]\\n```') "
         "WHEN 1 THEN concat('[{\"description\": \"', t, '\", \"type\": \"duty\", \"subject\": \"controller\"}]') WHEN 2 THEN concat('{\"description\": \"', t, '\"}') ELSE concat('not json: ', t) END"

@@ -84,9 +84,9 @@ def hit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.hit_rows(_hits(spark, sf_dir)).select("query_id", "rank", "article", "section", "paragraph", "distance", "score")
 
 
-@query(_HITS + "SELECT query_id, rank, upper(instrument_type) AS authority, coalesce(nullif(concat_ws(' > ', nullif(article, ''), nullif(section, ''), nullif(paragraph, '')), ''), '(no location)') AS location FROM hits")
+@query(_HITS + "SELECT query_id, rank, CASE instrument_type WHEN 'statute' THEN 'Statute' WHEN 'guidance' THEN 'Regulator Guidance' WHEN 'commentary' THEN 'Commentary' ELSE instrument_type END AS authority, coalesce(nullif(concat_ws(' > ', nullif(article, ''), nullif(section, ''), nullif(paragraph, '')), ''), '(no location)') AS location FROM hits")
 def hit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).select("query_id", "rank", F.upper("instrument_type").alias("authority"), tx.location(F.col("article"), F.col("section"), F.col("paragraph")).alias("location"))
+    return _hits(spark, sf_dir).select("query_id", "rank", tx.named(F.col("instrument_type"), tx.AUTHORITIES).alias("authority"), tx.location(F.col("article"), F.col("section"), F.col("paragraph")).alias("location"))
 
 
 @query(
@@ -140,7 +140,7 @@ def relevance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANSWERS = """answers AS (SELECT conv_id, turn, text || ' Article ' || (conv_id % 5 + 1) || ' and Art. ' || (turn + 1) || CASE WHEN conv_id % 4 = 0 THEN ' cannot determine' ELSE '' END AS response_text,
   CASE WHEN conv_id % 3 = 0 THEN [] ELSE ['Article ' || (conv_id % 5 + 1), 'Article 9'] END AS expected, conv_id % 7 <> 0 AS evidence_sufficient, 'm' || (turn % 3) AS model FROM conversations WHERE role = 'assistant'),
 found AS (SELECT *, list_sort(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(response_text, '(?i)Article\\s+(\\d+)', 1), regexp_extract_all(response_text, '(?i)Art\\.\\s*(\\d+)', 1)), regexp_extract_all(response_text, '(?i)Recital\\s+(\\d+)', 1)), lambda n: 'Article ' || n))) AS found,
-  """ + " OR ".join(f"contains(lower(response_text), '{p}')" for p in tx.UNCERTAIN) + """ AS expressed_uncertainty FROM answers),
+  """ + " OR ".join(f"contains(lower(response_text), '{p}')" for p in tx.UNCERTAINTY) + """ AS expressed_uncertainty FROM answers),
 scored AS (SELECT *, round(CASE WHEN len(found) > 0 AND len(expected) > 0 THEN len(list_intersect(found, expected)) / CAST(len(found) AS DOUBLE) WHEN len(found) = 0 AND len(expected) = 0 THEN 1.0 ELSE 0.0 END, 3) AS citation_precision,
   round(CASE WHEN len(expected) > 0 THEN len(list_filter(expected, lambda e: list_contains(found, e))) / CAST(len(expected) AS DOUBLE) ELSE 1.0 END, 3) AS citation_recall, expressed_uncertainty <> evidence_sufficient AS calibration_correct FROM found)"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,11 +22,18 @@ OBLIGATIONS = (
 )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. A local session without one gets a temporary folder, a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or f"{tempfile.gettempdir()}/regspark").rstrip("/")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A table in the folder that all executors share, for what several later steps read."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

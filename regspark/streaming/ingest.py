@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,16 +26,15 @@ def chunk_stream(spark: SparkSession, source: str, target: str, checkpoint: str)
         if before is not None:
             chunks = before.join(batch.select("source_id").distinct(), "source_id", "left_anti").unionByName(upserted(chunks.limit(0), chunks, ["chunk_id"], "batch"))
         chunks.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark.range(number, number + 1, 1, 1).toDF("number").write.mode("append").parquet(f"{target}_batches")
 
     return spark.readStream.schema(DOCUMENT).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, target: str, before: int = 1 << 62) -> DataFrame | None:
-    """The chunk table of the last batch below a number."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(path):
+    """The chunk table of the last batch below a number; a batch lists itself in `target`_batches once it is written."""
+    try:
+        done = spark.read.schema("number long").parquet(f"{target}_batches").where(F.col("number") < before).agg(F.max("number")).first()[0]
+    except AnalysisException:  # nothing written yet
         return None
-    numbers = [int(f.getPath().getName().split("=")[1]) for f in store.listStatus(path) if f.getPath().getName().startswith("batch=")]
-    done = [n for n in numbers if n < before and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={n}/_SUCCESS"))]
-    return spark.read.parquet(f"{target}/batch={max(done)}") if done else None
+    return None if done is None else spark.read.parquet(f"{target}/batch={done}")
