@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read by Spark only (the path may be in any store)."""
@@ -24,15 +26,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; set only where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        existing = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = existing.get() if existing.isDefined() else "/tmp/checkpoints"
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
