@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import contamination, contamination_digest
 from .licenses import license_scan
 from .packing import pack_sequences
+from . import periodic_runs as periodic
 from . import quality_rules as rules
 from .pii import pseudonyms
 from .quality_model import quality_scores
@@ -59,9 +60,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(periodic.periodic_runs(periodic.damaged(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier, op9_decontamination, op10_packing)
+    for f in (
+        op1_license_scan, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier,
+        op9_decontamination, op10_packing, op11_periodic_runs,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.SQL, "op11_periodic_runs": periodic.SQL}
