@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from . import conversation_repair as repair
 from .decontaminate import contamination, contamination_digest
 from .licenses import license_scan
 from .packing import pack_sequences
@@ -64,12 +65,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digest(periodic.periodic_runs(periodic.damaged(table(spark, sf_dir, "documents"))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair_digest(rows, repair.damaged(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier,
-        op9_decontamination, op10_packing, op11_periodic_runs,
+        op9_decontamination, op10_packing, op11_periodic_runs, op12_conversation_repair,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.SQL, "op11_periodic_runs": periodic.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": rules.SQL, "op11_periodic_runs": periodic.SQL, "op12_conversation_repair": repair.SQL}
