@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from . import conversation_repair as repair
 from .decontaminate import contamination, contamination_digest
+from .jaccard_join import jaccard_components
 from .licenses import license_scan
 from .packing import pack_sequences
 from . import periodic_runs as periodic
@@ -70,11 +71,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digest(rows, repair.damaged(rows))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_simhash, op3_pii_surrogates, op4_token_counts, op5_url_filters, op6_suffix_dedup, op7_quality_rules, op8_quality_classifier,
-        op9_decontamination, op10_packing, op11_periodic_runs, op12_conversation_repair,
+        op9_decontamination, op10_packing, op11_periodic_runs, op12_conversation_repair, op13_jaccard_join,
     )
 }
 
