@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.tables import stored
 
 ARTICLE_CHARS, DEFINITION_CHARS, OBLIGATION_CHARS, DESCRIPTION_KEY = 2000, 500, 300, 50
 OBLIGATION_TYPES = ("obligation", "right", "prohibition", "permission")
@@ -64,11 +65,12 @@ def definitions(chunks: DataFrame, listed: Column) -> DataFrame:
     item = r"(?s)^(.+?)\s+means\s+(.+)"
     lettered = F.filter(F.split("text", r"\n(?=[a-k]\.\s)"), lambda p: p.rlike(r"^[a-k]\.\s"))
     lettered = F.transform(lettered, lambda p: tx.strip(F.regexp_replace(p, r"^[a-k]\.\s+", "")))
-    rows = chunks.withColumn("_i", F.explode_outer(F.when(listed, lettered).otherwise(F.array("text"))))
+    index = F.col("chunk_index") if "chunk_index" in chunks.columns else F.lit(0)
+    rows = chunks.select("*", F.posexplode_outer(F.when(listed, lettered).otherwise(F.array("text"))).alias("_k", "_i")).withColumn("place", F.struct(index.alias("chunk"), F.col("_k").alias("item")))
     pattern = lambda g: F.when(listed, F.regexp_extract("_i", item, g)).otherwise(F.regexp_extract("_i", quoted, g))
     rows = rows.withColumn("term", tx.strip(pattern(1))).withColumn("definition_text", F.regexp_replace(tx.strip(pattern(2)), ";+$", "")).where("term <> ''")
     return rows.select(
-        F.concat(F.col("source_id"), F.lit(":def:"), F.lower("term")).alias("node_id"), "term", F.substring("definition_text", 1, DEFINITION_CHARS).alias("definition_text"), "source_id", F.col("article").alias("article_label")
+        F.concat(F.col("source_id"), F.lit(":def:"), F.lower("term")).alias("node_id"), "term", F.substring("definition_text", 1, DEFINITION_CHARS).alias("definition_text"), "source_id", F.col("article").alias("article_label"), "place"
     )
 
 
@@ -76,12 +78,12 @@ def obligations(responses: DataFrame) -> DataFrame:
     """Obligations of model responses (article_node_id, source_id, article_label, response): a JSON array, fenced or not; all else gives none."""
     body = F.regexp_replace(F.regexp_replace(tx.strip(F.col("response")), r"^```(?:json)?\s*", ""), r"\s*```$", "")
     items = F.when(F.startswith(body, F.lit("[")), F.from_json(body, "array<struct<description:string,type:string,subject:string>>"))
-    d = responses.withColumn("_o", F.explode_outer(items)).where("_o is not null")
+    d = responses.select("*", F.posexplode_outer(items).alias("place", "_o")).where("_o is not null")
     kind = F.lower(tx.strip(F.coalesce("_o.type", F.lit("obligation"))))
     description = tx.strip(F.coalesce("_o.description", F.lit("")))
-    d = d.select("article_node_id", "source_id", "article_label", description.alias("d"), F.when(kind.isin(*OBLIGATION_TYPES), kind).otherwise("obligation").alias("obligation_type"), tx.strip(F.coalesce("_o.subject", F.lit(""))).alias("subject"))
+    d = d.select("article_node_id", "source_id", "article_label", description.alias("d"), F.when(kind.isin(*OBLIGATION_TYPES), kind).otherwise("obligation").alias("obligation_type"), tx.strip(F.coalesce("_o.subject", F.lit(""))).alias("subject"), "place")
     node = tx.short_hash("source_id", "article_label", F.substring("d", 1, DESCRIPTION_KEY))
-    return d.where("d <> ''").select(node.alias("node_id"), F.substring("d", 1, OBLIGATION_CHARS).alias("description"), "obligation_type", "source_id", "article_label", "subject", "article_node_id")
+    return d.where("d <> ''").select(node.alias("node_id"), F.substring("d", 1, OBLIGATION_CHARS).alias("description"), "obligation_type", "source_id", "article_label", "subject", "article_node_id", "place")
 
 
 def obligation_candidates(nodes: DataFrame, statutes: list[str] | Column, skipped: tuple[str, ...] = ("Article 4", "Art. 5"), least: int = 100) -> DataFrame:
@@ -96,6 +98,59 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.dropDuplicates(["src", "dst", "type"])
 
 
+NODE = ("node_id", "kind", "source_id", "label", "title", "chapter", "section", "full_text", "term", "definition_text", "description", "obligation_type", "subject")
+NODE_KINDS = {"Instrument": "instruments", "Article": "articles", "Definition": "definitions", "Obligation": "obligations"}
+EDGE_KINDS = {"CONTAINS": "contains", "REFERENCES": "references", "DEFINES": "defines", "IMPOSES": "imposes", "CITES": "cites", "EQUIVALENT_TO": "equivalent_to"}
+
+
+def node_table(instruments: DataFrame, nodes: DataFrame, defined: DataFrame, imposed: DataFrame) -> DataFrame:
+    """All nodes in one table of NODE columns; of equal ids of a kind the last (by `place`, where there is one) is kept."""
+    parts = []
+    for kind, df, label in (
+        ("Instrument", instruments.withColumn("node_id", F.col("source_id")), F.col("title")), ("Article", nodes, F.col("article_label")), ("Definition", defined, F.col("term")),
+        ("Obligation", imposed, tx.truncated(F.col("description"), 40)),
+    ):
+        d = df.withColumn("kind", F.lit(kind)).withColumn("label", label)
+        columns = [F.col(c) if c in d.columns else F.lit(None).cast("string").alias(c) for c in NODE]
+        if "place" in df.columns:
+            last = d.groupBy("node_id").agg(F.max_by(F.struct(*(c for c in NODE if c in d.columns)), F.struct("place", "label")).alias("n"))
+            d = last.select("n.*")
+        parts.append(d.select(columns))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def edge_table(nodes: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """All edges (src, dst, type, property) whose ends are in the node table, one of each (src, dst, type).
+
+    `kinds` has a table (src, dst and at most one property) for each type; of repeated edges the least property is kept.
+    """
+    out = None
+    for kind, df in kinds.items():
+        more = [c for c in df.columns if c not in ("src", "dst")]
+        rows = df.select("src", "dst", F.lit(kind).alias("type"), (F.col(more[0]).cast("string") if more else F.lit(None).cast("string")).alias("property"))
+        out = rows if out is None else out.unionByName(rows)
+    ids = nodes.select("node_id").distinct()
+    met = out.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return met.groupBy("src", "dst", "type").agg(F.min("property").alias("property"))
+
+
+def defines(defined: DataFrame) -> DataFrame:
+    return defined.select(F.concat_ws(":", "source_id", "article_label").alias("src"), F.col("node_id").alias("dst"))
+
+
+def imposes(imposed: DataFrame) -> DataFrame:
+    return imposed.select(F.col("article_node_id").alias("src"), F.col("node_id").alias("dst"))
+
+
+def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row with the count of each kind of node and edge, zero where there is none."""
+    kinds = nodes.groupBy(F.col("kind").alias("k")).count().unionByName(edges.groupBy(F.col("type").alias("k")).count())
+    return kinds.agg(*(F.coalesce(F.sum(F.when(F.col("k") == k, F.col("count"))), F.lit(0).cast("long")).alias(name) for k, name in {**NODE_KINDS, **EDGE_KINDS}.items()))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
@@ -112,18 +167,44 @@ def context_edges(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def k_hops(seeds: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
-    """(seed, src, dst): the edges on any directed path of at most `depth` (1 to 5) steps from each seed."""
-    depth = max(1, min(depth, 5))
-    frontier = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("src")).distinct()
-    seen = frontier
-    found = None
-    for step in range(depth):
-        reached = frontier.join(edges.select("src", "dst"), "src").select("seed", "src", "dst").distinct()
-        found = reached if found is None else found.unionByName(reached)
-        if step < depth - 1:
-            frontier = reached.select("seed", F.col("dst").alias("src")).distinct().join(seen, ["seed", "src"], "left_anti")
+    """(seed, src, dst): the edges on any directed path of at most `depth` (1 to 5) steps from each seed.
+
+    Each round follows only what the last one reached first, and is stored, so
+    its plan has the joins of one round; it ends where nothing new is reached.
+    """
+    steps = edges.select("src", "dst").distinct()
+    frontier = stored(seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("src")).distinct(), "frontier")
+    seen, found = frontier, []
+    for step in range(max(1, min(depth, 5))):
+        if step:
+            reached = found[-1].select("seed", F.col("dst").alias("src")).distinct()
+            frontier = stored(reached.join(seen, ["seed", "src"], "left_anti"), "frontier")
+            if frontier.isEmpty():
+                break
             seen = seen.unionByName(frontier)
-    return found.distinct()
+        # a node is followed once for a seed, so no edge is found twice
+        found.append(stored(frontier.join(steps, "src").select("seed", "src", "dst"), "reached"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def context_nodes(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seed, place, role, node columns): the nodes of each seed's context, the article itself first (place 0), each once per role.
+
+    Roles in order: article, instrument, definition, refers_to, referred_by, obligation, equivalent. Seeds without a node give no row.
+    """
+    own = seeds.select(F.col("node_id").alias("seed")).distinct()
+    around = context_edges(seeds, edges)
+    other = F.when(F.col("from") == F.col("seed"), F.col("to")).otherwise(F.col("from"))
+    role = (
+        F.when(F.col("type") == "CONTAINS", 1).when(F.col("type") == "DEFINES", 2).when((F.col("type") == "REFERENCES") & (F.col("from") == F.col("seed")), 3)
+        .when(F.col("type") == "REFERENCES", 4).when(F.col("type") == "IMPOSES", 5).otherwise(6)
+    )
+    rows = own.select("seed", F.lit(0).alias("place"), F.col("seed").alias("node_id")).unionByName(around.select("seed", role.alias("place"), other.alias("node_id"))).distinct()
+    roles = F.array(*map(F.lit, ("article", "instrument", "definition", "refers_to", "referred_by", "obligation", "equivalent")))
+    return rows.join(nodes, "node_id").withColumn("role", F.get(roles, F.col("place")))
 
 
 def subgraph_edges(seeds: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ to another one of the same number space.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,40 @@ refs AS (
   FROM chunks)"""
 
 
+#: Chunks of the article of definitions, in the two forms that such articles have: quoted terms, one to a chunk, or lettered ones.
+_DEFINITION = r"""CASE WHEN article = 'Article 4' THEN concat('1. \'', element_at(w, 1), '\' means ', text, ';')
+  ELSE concat('In this law:', array_join(transform(slice(w, 1, 3), (x, i) -> concat('\n', substr('abc', i + 1, 1), '. ', x, ' means ', regexp_replace(text, '\\s+', ' '), ';')), '')) END"""
+
+
+def definition_chunks(chunks: DataFrame) -> DataFrame:
+    d = chunks.where("article in ('Article 4', 'Art. 4')").withColumn("w", F.filter(F.regexp_extract_all("text", F.lit(r"[^\s'‘’;]+"), F.lit(0)), lambda x: F.length(x) > 4))
+    return d.where("size(w) > 0").select("source_id", "article", "chunk_index", F.expr(_DEFINITION).alias("text"))
+
+
+DEFINED = r"""defined AS (
+  SELECT source_id || ':def:' || lower(term) AS node_id, term, substr(regexp_replace(regexp_replace(body || ';', '^\s+|\s+$', '', 'g'), ';+$', ''), 1, 500) AS definition_text, source_id, article AS article_label, chunk_index, item FROM (
+    SELECT *, unnest(CASE WHEN article = 'Article 4' THEN w[1:1] ELSE w[1:3] END) AS term, unnest(CASE WHEN article = 'Article 4' THEN [1] ELSE [1, 2, 3][1:len(w)] END) AS item,
+           CASE WHEN article = 'Article 4' THEN text ELSE regexp_replace(text, '\s+', ' ', 'g') END AS body
+    FROM (SELECT *, list_filter(regexp_extract_all(text, '[^\s''‘’;]+'), lambda x: length(x) > 4) AS w FROM chunks WHERE article IN ('Article 4', 'Art. 4')) WHERE len(w) > 0)),
+definitions AS (SELECT * FROM defined QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY chunk_index DESC, item DESC) = 1)"""
+
+#: What a model might have said of an article: up to seven obligations as JSON, fenced or not, or a sentence.
+_RESPONSE = r"""CASE WHEN length(full_text) % 11 = 0 THEN concat('No duty: ', full_text) ELSE concat(CASE WHEN length(full_text) % 2 = 0 THEN '```json\n' ELSE '' END,
+  to_json(transform(sequence(1, CAST(1 + length(full_text) % 7 AS INT)), k -> named_struct('description', concat(' Duty ', k, ': ', substr(full_text, 20 * k, 180)), 'type', element_at(array('obligation', 'Right ', 'PROHIBITION', 'permission', 'duty'), k % 5 + 1), 'subject', ' controller'))),
+  CASE WHEN length(full_text) % 2 = 0 THEN '\n```' ELSE '' END) END"""
+
+
+def model_responses(candidates: DataFrame) -> DataFrame:
+    return candidates.select(F.col("node_id").alias("article_node_id"), "source_id", "article_label", F.expr(_RESPONSE).alias("response"))
+
+
+IMPOSED = r"""duties AS (
+  SELECT node_id AS article_node_id, source_id, article_label, k, regexp_replace('Duty ' || k || ': ' || substr(full_text, 20 * k, 180), '^\s+|\s+$', '', 'g') AS d, ['obligation', 'right', 'prohibition', 'permission', 'obligation'][k % 5 + 1] AS obligation_type
+  FROM (SELECT *, unnest(range(1, CAST(2 + length(full_text) % 7 AS INT))) AS k FROM articles WHERE article_label NOT IN ('Article 4', 'Art. 5') AND length(full_text) >= 100 AND length(full_text) % 11 <> 0)),
+imposed AS (SELECT substr(sha256(source_id || ':' || article_label || ':' || substr(d, 1, 50)), 1, 16) AS node_id, substr(d, 1, 300) AS description, obligation_type, 'controller' AS subject, source_id, article_node_id, k FROM duties),
+obligations AS (SELECT * FROM imposed QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY k DESC) = 1)"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -119,7 +154,13 @@ pairs AS (SELECT l.source_id || ':' || a || n AS left_id, 'doc' || (l.doc_id + 1
   FROM (SELECT * FROM legal WHERE doc_id % 3 = 1) l, range(1, 6) t(n), (VALUES ('Article '), ('Art. ')) x(a), (VALUES ('Article '), ('Art. ')) y(b)),
 equals AS (SELECT left_id AS src, right_id AS dst, note FROM pairs WHERE left_id IN (SELECT node_id FROM articles) AND right_id IN (SELECT node_id FROM articles)),
 edges AS (
+  SELECT source_id || ':' || article_label AS src, node_id AS dst, 'DEFINES' AS type FROM definitions WHERE source_id || ':' || article_label IN (SELECT node_id FROM articles) UNION ALL
+  SELECT DISTINCT article_node_id, node_id, 'IMPOSES' FROM imposed UNION ALL
   SELECT src, dst, 'REFERENCES' AS type FROM refers UNION ALL SELECT src, dst, 'CITES' FROM citing UNION ALL
   SELECT src, dst, 'EQUIVALENT_TO' FROM equals UNION ALL SELECT source_id, node_id, 'CONTAINS' FROM articles)"""
 
-GRAPH = (LEGAL, SPANS, CHUNKS, ARTICLES, EDGES)
+NODES = r"""nodes AS (
+  SELECT source_id AS node_id, 'Instrument' AS kind, title AS label FROM legal UNION ALL SELECT node_id, 'Article', article_label FROM articles UNION ALL
+  SELECT node_id, 'Definition', term FROM definitions UNION ALL SELECT node_id, 'Obligation', CASE WHEN length(description) > 40 THEN substr(description, 1, 40) || '...' ELSE description END FROM obligations)"""
+
+GRAPH = (LEGAL, SPANS, CHUNKS, ARTICLES, DEFINED, IMPOSED, EDGES, NODES)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking as ch
 from ..operators import graph as g
-from ..sources.tables import stored
+from ..sources.tables import stored_once, version
 from .common import Area
-from .corpus import ARTICLES, CHUNKS, GRAPH, LEGAL, SPANS, equivalence_pairs, legal_docs, statutes, view, with_
+from .corpus import ARTICLES, CHUNKS, GRAPH, LEGAL, SPANS, definition_chunks, equivalence_pairs, legal_docs, model_responses, statutes, view, with_
 
 query = Area()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -18,72 +20,119 @@ _NODES = with_(LEGAL, SPANS, CHUNKS, ARTICLES)
 
 
 class Graph:
-    """The tables of the derived corpus. Chunks, nodes and edges are stored tables, each computed once."""
+    """The tables of the derived corpus: each is made once for a version of the documents, and read by all queries of a session."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
         self.docs = legal_docs(spark, sf_dir)
-        self.chunks = ch.chunk_corpus(self.docs).select("source_id", "instrument_type", "chunk_index", "text", "article", "chapter", "section", "cross_references")
-        self.chunks = stored(self.chunks, "chunks")
-        self.nodes = stored(g.articles(self.chunks), "articles")
+        self.version = version(spark, f"{sf_dir}/documents.parquet")
+        self.chunks = self._once("chunks", lambda: ch.chunk_corpus(self.docs))
         self.statutes = statutes(self.docs)
 
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return stored_once(self.spark, name, self.version, build)
+
+    @property
+    def articles(self) -> DataFrame:
+        return self._once("articles", lambda: g.articles(self.chunks))
+
+    @property
+    def definitions(self) -> DataFrame:
+        return self._once("definitions", lambda: g.definitions(definition_chunks(self.chunks), F.col("article") == "Art. 4"))
+
+    @property
+    def obligations(self) -> DataFrame:
+        return self._once("obligations", lambda: g.obligations(model_responses(g.obligation_candidates(self.articles, F.lit(True)))))
+
+    @property
     def references(self) -> DataFrame:
-        return g.references(self.chunks, self.nodes, self.statutes)
+        return self._once("references", lambda: g.references(self.chunks, self.articles, self.statutes))
 
+    @property
     def cites(self) -> DataFrame:
-        return g.cites(self.chunks, self.nodes, self.statutes)
+        return self._once("cites", lambda: g.cites(self.chunks, self.articles, self.statutes))
 
+    @property
     def equivalents(self) -> DataFrame:
-        return g.equivalents(equivalence_pairs(self.docs), self.nodes)
+        return g.equivalents(equivalence_pairs(self.docs), self.articles)
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._once("nodes", lambda: g.node_table(self.docs, self.articles, self.definitions, self.obligations))
 
+    @property
     def edges(self) -> DataFrame:
-        kinds = (("REFERENCES", self.references()), ("CITES", self.cites()), ("EQUIVALENT_TO", self.equivalents()), ("CONTAINS", g.contains(self.nodes)))
-        out = None
-        for kind, df in kinds:
-            rows = df.select("src", "dst", F.lit(kind).alias("type"))
-            out = rows if out is None else out.unionByName(rows)
-        return stored(out, "edges")
+        kinds = {
+            "CONTAINS": lambda: g.contains(self.articles), "REFERENCES": lambda: self.references, "CITES": lambda: self.cites, "EQUIVALENT_TO": lambda: self.equivalents,
+            "DEFINES": lambda: g.defines(self.definitions), "IMPOSES": lambda: g.imposes(self.obligations),
+        }
+        return self._once("edges", lambda: g.edge_table(self.nodes, {k: make() for k, make in kinds.items()}))
 
 
 @query(_NODES + "SELECT node_id, source_id, article_label, chapter, section, md5(full_text) AS text_md5 FROM articles")
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph(spark, sf_dir).nodes.select("node_id", "source_id", "article_label", "chapter", "section", F.md5("full_text").alias("text_md5"))
+    return Graph(spark, sf_dir).articles.select("node_id", "source_id", "article_label", "chapter", "section", F.md5("full_text").alias("text_md5"))
 
 
 @query(_SQL + "SELECT src, dst, reference_text FROM refers")
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph(spark, sf_dir).references()
+    return Graph(spark, sf_dir).references
 
 
 @query(_SQL + "SELECT src, dst FROM citing")
 def cites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph(spark, sf_dir).cites()
+    return Graph(spark, sf_dir).cites
 
 
 @query(_SQL + "SELECT src, dst, note FROM equals")
 def equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph(spark, sf_dir).equivalents()
+    return Graph(spark, sf_dir).equivalents
 
 
 @query(_NODES + "SELECT source_id AS src, node_id AS dst FROM articles")
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.contains(Graph(spark, sf_dir).nodes)
+    return g.contains(Graph(spark, sf_dir).articles)
+
 
+_COUNTS = ", ".join([f"(SELECT count(*) FROM nodes WHERE kind = '{k}') AS {n}" for k, n in g.NODE_KINDS.items()] + [f"(SELECT count(*) FROM edges WHERE type = '{k}') AS {n}" for k, n in g.EDGE_KINDS.items()])
 
-@query(_SQL + "SELECT type AS label, count(*) AS n FROM edges GROUP BY type UNION ALL SELECT 'Article', count(*) FROM articles UNION ALL SELECT 'Instrument', count(*) FROM legal")
+
+@query(_SQL + "SELECT " + _COUNTS)
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    kinds = graph.edges().groupBy(F.col("type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    nodes = graph.nodes.agg(F.lit("Article").alias("label"), F.count(F.lit(1)).alias("n")).unionByName(graph.docs.agg(F.lit("Instrument").alias("label"), F.count(F.lit(1)).alias("n")))
-    return kinds.unionByName(nodes)
+    return g.stats(graph.nodes, graph.edges)
+
+
+@query(_SQL + "SELECT node_id, kind, label FROM nodes")
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(spark, sf_dir).nodes.select("node_id", "kind", "label")
+
+
+@query(_SQL + "SELECT src, dst, type FROM edges")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph(spark, sf_dir).edges.select("src", "dst", "type")
+
+
+@query(_SQL + "SELECT e.src, e.dst, d.term, md5(d.definition_text) AS definition_md5 FROM edges e JOIN definitions d ON d.node_id = e.dst WHERE e.type = 'DEFINES'")
+def defines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph(spark, sf_dir)
+    e = graph.edges.where("type = 'DEFINES'").join(graph.nodes, F.col("dst") == F.col("node_id"))
+    return e.select("src", "dst", "term", F.md5("definition_text").alias("definition_md5"))
+
+
+@query(_SQL + "SELECT e.src, e.dst, o.obligation_type, o.subject, md5(o.description) AS description_md5 FROM edges e JOIN obligations o ON o.node_id = e.dst WHERE e.type = 'IMPOSES'")
+def imposes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph(spark, sf_dir)
+    e = graph.edges.where("type = 'IMPOSES'").join(graph.nodes, F.col("dst") == F.col("node_id"))
+    return e.select("src", "dst", "obligation_type", "subject", F.md5("description").alias("description_md5"))
 
 
 @query(_NODES + "SELECT node_id, CAST(length(full_text) AS INT) AS n_chars FROM articles WHERE article_label NOT IN ('Article 4', 'Art. 5') AND length(full_text) >= 100")
 def obligation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.obligation_candidates(Graph(spark, sf_dir).nodes, F.lit(True)).select("node_id", F.length("full_text").alias("n_chars"))
+    return g.obligation_candidates(Graph(spark, sf_dir).articles, F.lit(True)).select("node_id", F.length("full_text").alias("n_chars"))
 
 
-_SEEDS = "seeds AS (SELECT node_id FROM articles WHERE article_label IN ('Article 3', 'Art. 3'))"
+_SEEDS = "seeds AS (SELECT node_id FROM articles)"
 _CONTEXT = r"""around AS (
   SELECT src AS seed, type, src AS "from", dst AS "to" FROM edges WHERE type IN ('DEFINES', 'REFERENCES', 'IMPOSES', 'EQUIVALENT_TO') UNION
   SELECT dst, type, src, dst FROM edges WHERE type IN ('CONTAINS', 'REFERENCES') UNION
@@ -91,30 +140,42 @@ _CONTEXT = r"""around AS (
 
 
 def _seeds(graph: Graph) -> DataFrame:
-    return graph.nodes.where("article_label in ('Article 3', 'Art. 3')").select("node_id")
+    return graph.articles.select("node_id")
 
 
 @query(with_(*GRAPH, _SEEDS, _CONTEXT) + 'SELECT DISTINCT seed, type, "from", "to" FROM around WHERE seed IN (SELECT node_id FROM seeds)')
 def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    return g.context_edges(_seeds(graph), graph.edges())
+    return g.context_edges(_seeds(graph), graph.edges)
+
+
+_ROLES = """CASE WHEN type = 'CONTAINS' THEN 1 WHEN type = 'DEFINES' THEN 2 WHEN type = 'REFERENCES' AND "from" = seed THEN 3 WHEN type = 'REFERENCES' THEN 4 WHEN type = 'IMPOSES' THEN 5 ELSE 6 END"""
+
+
+@query(
+    with_(*GRAPH, _SEEDS, _CONTEXT, f"""members AS (SELECT node_id AS seed, 0 AS place, node_id FROM seeds UNION SELECT seed, {_ROLES}, CASE WHEN "from" = seed THEN "to" ELSE "from" END FROM around WHERE seed IN (SELECT node_id FROM seeds))""")
+    + "SELECT seed, CAST(place AS INT) AS place, ['article', 'instrument', 'definition', 'refers_to', 'referred_by', 'obligation', 'equivalent'][place + 1] AS role, node_id, kind, label FROM members JOIN nodes USING (node_id)"
+)
+def article_context_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph(spark, sf_dir)
+    return g.context_nodes(_seeds(graph), graph.edges, graph.nodes).select("seed", "place", "role", "node_id", "kind", "label")
 
 
 @query(with_(*GRAPH, _SEEDS, _CONTEXT) + """SELECT DISTINCT type, "from", "to" FROM around WHERE seed IN (SELECT node_id FROM seeds) AND type <> 'IMPOSES'""")
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    return g.subgraph_edges(_seeds(graph), graph.edges())
+    return g.subgraph_edges(_seeds(graph), graph.edges)
 
 
 @query(_SQL + "SELECT DISTINCT node_id, eq FROM (SELECT src AS node_id, dst AS eq FROM equals UNION ALL SELECT dst, src FROM equals)")
 def get_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.both_ways(Graph(spark, sf_dir).equivalents()).select(F.col("src").alias("node_id"), F.col("dst").alias("eq"))
+    return g.both_ways(Graph(spark, sf_dir).equivalents).select(F.col("src").alias("node_id"), F.col("dst").alias("eq"))
 
 
 @query(_SQL + "SELECT c.dst AS node_id, c.src AS source_id, l.title FROM citing c JOIN legal l ON l.source_id = c.src")
 def guidance_for_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    titled = graph.cites().join(graph.docs.select("source_id", "title"), F.col("src") == F.col("source_id"))
+    titled = graph.cites.join(graph.docs.select("source_id", "title"), F.col("src") == F.col("source_id"))
     return titled.select(F.col("dst").alias("node_id"), "source_id", "title").orderBy("node_id", "source_id")
 
 
@@ -123,12 +184,12 @@ def article_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("article_label"))
-    return Graph(spark, sf_dir).nodes.select("source_id", F.col("article_label").alias("label"), "chapter", "section", "node_id", place.cast("long").alias("place"))
+    return Graph(spark, sf_dir).articles.select("source_id", F.col("article_label").alias("label"), "chapter", "section", "node_id", place.cast("long").alias("place"))
 
 
 @query(_NODES + "SELECT node_id, source_id, article_label FROM articles WHERE node_id = 'doc4:Art. 2'")
 def get_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Graph(spark, sf_dir).nodes.where("node_id = 'doc4:Art. 2'").select("node_id", "source_id", "article_label")
+    return Graph(spark, sf_dir).articles.where("node_id = 'doc4:Art. 2'").select("node_id", "source_id", "article_label")
 
 
 _HOPS = r"""hops AS (
@@ -139,11 +200,11 @@ _HOPS = r"""hops AS (
 @query("WITH RECURSIVE " + ",\n".join((*GRAPH, _SEEDS, _HOPS)) + "\nSELECT DISTINCT h.seed, r.src, r.dst FROM hops h JOIN refers r ON r.src = h.src WHERE h.d <= 2")
 def k_hop_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    return g.k_hops(_seeds(graph), stored(graph.references().select("src", "dst"), "references"), 3)
+    return g.k_hops(_seeds(graph), graph.references, 3)
 
 
 @query(
-    with_(*GRAPH, "seeds AS (SELECT 'about ' || node_id AS query_id, node_id AS ref FROM articles WHERE article_label IN ('Article 3', 'Art. 3'))", _CONTEXT)
+    with_(*GRAPH, "seeds AS (SELECT 'about ' || node_id AS query_id, node_id AS ref FROM articles)", _CONTEXT)
     + r"""SELECT query_id, 'article_context' AS kind, ref, type, "from", "to" FROM seeds JOIN around ON seed = ref
 UNION SELECT query_id, 'equivalent_article', e.dst, a.type, a."from", a."to" FROM seeds JOIN (SELECT src, dst FROM equals UNION SELECT dst, src FROM equals) e ON e.src = ref JOIN around a ON a.seed = e.dst
 UNION SELECT query_id, 'guidance_citations', ref, 'CITES', c.src, c.dst FROM seeds JOIN citing c ON c.dst = ref"""
@@ -151,20 +212,20 @@ UNION SELECT query_id, 'guidance_citations', ref, 'CITES', c.src, c.dst FROM see
 def expand_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
     named = _seeds(graph).select(F.concat(F.lit("about "), "node_id").alias("query_id"), F.col("node_id").alias("ref"))
-    return g.expanded(named, graph.edges(), graph.nodes)
+    return g.expanded(named, graph.edges, graph.articles)
 
 
 @query(with_(*GRAPH) + "SELECT src, dst, type FROM edges WHERE type <> 'CONTAINS' AND src IN (SELECT node_id FROM articles) AND dst IN (SELECT node_id FROM articles)")
 def graph_view_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    return g.valid_edges(graph.edges().where("type <> 'CONTAINS'"), graph.nodes.select("node_id"))
+    return g.valid_edges(graph.edges.where("type <> 'CONTAINS'"), graph.articles.select("node_id")).select("src", "dst", "type")
 
 
 @query(with_(*GRAPH) + "SELECT src, dst, type FROM edges WHERE type = 'CITES' AND src IN (SELECT source_id FROM legal) AND dst IN (SELECT node_id FROM articles)")
 def edges_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    nodes = graph.nodes.select("node_id").unionByName(graph.docs.select(F.col("source_id").alias("node_id")))
-    return g.valid_edges(graph.edges().where("type = 'CITES'"), nodes)
+    nodes = graph.articles.select("node_id").unionByName(graph.docs.select(F.col("source_id").alias("node_id")))
+    return g.valid_edges(graph.edges.where("type = 'CITES'"), nodes).select("src", "dst", "type")
 
 
 _DEFINITIONS = r"""WITH c AS (SELECT doc_id, split_part(text, ' ', 1) AS w, coalesce(text, '') AS t FROM documents),
@@ -199,7 +260,7 @@ def parse_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
     rows = graph.chunks.select("source_id", F.explode_outer("cross_references").alias("ref")).where("ref is not null").distinct()
-    return g.resolved(rows, graph.nodes, graph.statutes).select("source_id", "ref", "target")
+    return g.resolved(rows, graph.articles, graph.statutes).select("source_id", "ref", "target")
 
 
 _TERMS = r"""terms AS (SELECT DISTINCT 'doc' || doc_id AS source_id, regexp_replace(split_part(text, ' ', 1), '^\s+|\s+$', '', 'g') AS term FROM documents WHERE text IS NOT NULL)"""
@@ -232,10 +293,11 @@ def list_all_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.listed_terms(_terms(spark, sf_dir).withColumn("place", place.cast("long"))).select("source_id", "term", "place")
 
 
-@query(_NODES + "SELECT node_id, 'Article' AS kind, article_label AS label FROM articles UNION ALL SELECT source_id, 'Instrument', title FROM legal")
+@query(_SQL + "SELECT node_id, 'Article' AS kind, article_label AS label FROM articles UNION ALL SELECT source_id, 'Instrument', title FROM legal UNION ALL SELECT node_id, 'Definition', term FROM definitions\n"
+       "UNION ALL SELECT node_id, 'Obligation', CASE WHEN length(description) > 40 THEN substr(description, 1, 40) || '...' ELSE description END FROM obligations")
 def node_type_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    nodes = graph.nodes.select("node_id", "article_label").unionByName(graph.docs.select(F.col("source_id").alias("node_id"), "title"), allowMissingColumns=True)
+    nodes = graph.nodes.select("node_id", F.when(F.col("kind") == "Article", F.col("label")).alias("article_label"), "term", "description", "title")
     return g.labelled_nodes(nodes).select("node_id", "kind", "label")
 
 
@@ -246,7 +308,7 @@ def node_type_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_view_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark, sf_dir)
-    around = g.context_edges(_seeds(graph), graph.edges())
+    around = g.context_edges(_seeds(graph), graph.edges)
     hits = graph.chunks.where("article is not null and chunk_index < 2").select(F.concat_ws(":", "source_id", "article").alias("node_id"))
     return g.view_nodes(around, hits)
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK = (
     "chunk_id string, text string, source_id string, instrument_type string, jurisdiction string, chapter string, section string, article string, "
@@ -38,6 +40,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Where this session has put the tables that are made once for each version of their input.
+_KEPT: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def version(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, lengths and times of the files under the paths; the files themselves are not read."""
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "modificationTime")
+    n, total = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{n}-{total}"
+
+
+def stored_once(spark: SparkSession, name: str, of: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored table `name` of the input version `of`: built when a session first asks for it, read from then on."""
+    key = (spark.sparkContext.applicationId, name, of)
+    if key not in _KEPT:
+        path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+        df = build()
+        df.write.parquet(path)
+        _KEPT[key] = (path, df.schema)
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunk files (JSON arrays), one per source; the order is (source_id, chunk_index), never that of files."""
     return spark.read.schema(CHUNK).option("multiLine", True).json(path)
