@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.scores import FILLERS
-from ..operators import chunking as ch
 from ..operators import context as cx
 from ..operators import evaluate as ev
 from ..operators import interpret as it
 from ..operators import search as se
 from .common import Area
-from .corpus import ARTICLES, CHUNKS, LEGAL, SPANS, legal_docs, view, with_
+from .corpus import CHUNKS, GRAPH, LEGAL, SPANS, legal_docs, view, with_
+from .graph_queries import Graph
 
 query = Area()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -71,11 +71,12 @@ def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Hits: the i-th chunk of a document is its hit of rank i + 1, at a distance by rank.
-_HITS = with_(LEGAL, SPANS, CHUNKS, "hits AS (SELECT source_id AS query_id, CAST(chunk_index + 1 AS INT) AS rank, source_id, article, section, paragraph, instrument_type, text, CASE WHEN chunk_index % 7 <> 6 THEN (chunk_index + 1) / 64.0 END AS distance FROM chunks)")
+_HIT_ROWS = ("hits AS (SELECT source_id AS query_id, CAST(chunk_index + 1 AS INT) AS rank, source_id, article, section, paragraph, instrument_type, text, CASE WHEN chunk_index % 7 <> 6 THEN (chunk_index + 1) / 64.0 END AS distance FROM chunks)")
+_HITS = with_(LEGAL, SPANS, CHUNKS, _HIT_ROWS)
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = ch.chunk_corpus(legal_docs(spark, sf_dir))
+    c = Graph(spark, sf_dir).chunks
     return c.select(F.col("source_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "source_id", "article", "section", "paragraph", "instrument_type", "text", F.when(F.col("chunk_index") % 7 != 6, (F.col("chunk_index") + 1) / 64.0).alias("distance"))
 
 
@@ -102,15 +103,59 @@ def expand_seed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.seeds_of_hits(_hits(spark, sf_dir)).select("query_id", "ref", "place")
 
 
+#: Prompts as SURVEY has them: for each document as a query, its ten first chunks, and what the graph has on the first five articles among these.
+_ITEMS = r"""first AS (SELECT * FROM hits WHERE rank <= 10),
+seeds AS (SELECT query_id, source_id || ':' || article AS ref, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), source_id || ':' || article) AS place FROM first WHERE article IS NOT NULL GROUP BY query_id, source_id, article QUALIFY place <= 5),
+duty AS (SELECT e.src AS ref, e.dst, o.obligation_type, o.description, row_number() OVER (PARTITION BY e.src ORDER BY e.dst) AS r, count(*) OVER (PARTITION BY e.src) AS n FROM edges e JOIN obligations o ON o.node_id = e.dst WHERE e.type = 'IMPOSES'),
+ends AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY way, other) AS r FROM (SELECT src AS ref, 0 AS way, dst AS other, dst AS target FROM edges WHERE type = 'REFERENCES' UNION ALL SELECT dst, 1, src, dst FROM edges WHERE type = 'REFERENCES')),
+lines AS (
+  SELECT e.src AS ref, 1 AS part, e.dst AS k, ' Definition: \'' || d.term || '\' — ' || substr(d.definition_text, 1, 200) AS line FROM edges e JOIN definitions d ON d.node_id = e.dst WHERE e.type = 'DEFINES' UNION ALL
+  SELECT ref, 2, '', ' Obligations (' || n || '):' FROM duty WHERE r = 1 UNION ALL SELECT ref, 3, dst, '    [' || obligation_type || '] ' || substr(description, 1, 150) FROM duty WHERE r <= 5 UNION ALL
+  SELECT ref, 4, '', ' Cross-references: ' || string_agg(target, ', ' ORDER BY way, other) FROM ends WHERE r <= 10 GROUP BY ref),
+section_of AS (SELECT node_id AS ref, concat_ws(chr(10), chr(10) || '[Article: ' || node_id || ']', string_agg(line, chr(10) ORDER BY part, k)) AS text FROM articles LEFT JOIN lines ON ref = node_id GROUP BY node_id),
+items AS (
+  SELECT query_id, place, 0 AS kind, '' AS other, text FROM seeds JOIN section_of USING (ref) UNION ALL
+  SELECT query_id, place, 1, e.dst, chr(10) || '[Cross-jurisdictional equivalent: ' || ref || ' ↔ ' || e.dst || ']' FROM seeds JOIN (SELECT src, dst FROM equals UNION SELECT dst, src FROM equals) e ON e.src = ref UNION ALL
+  SELECT query_id, place, 2, '', chr(10) || '[Guidance citing ' || ref || ']: ' || string_agg(title, ', ' ORDER BY c.src) FROM seeds JOIN citing c ON c.dst = ref JOIN legal l ON l.source_id = c.src GROUP BY query_id, place, ref),
+graph_text AS (SELECT query_id, count(*) AS n_items, chr(10) || ' Knowledge Graph Context ' || chr(10) || string_agg(text, chr(10) ORDER BY place, kind, other) AS g FROM items GROUP BY query_id),
+passages AS (SELECT query_id, count(*) AS n_passages, ' Retrieved Passages ' || chr(10) || string_agg('[Passage ' || rank || '] Source: ' || upper(source_id) || ' | Location: ' || concat_ws(' > ', article, section) || ' | Type: ' || instrument_type || chr(10) || text, chr(10) ORDER BY rank) AS p FROM first GROUP BY query_id),
+prompts AS (SELECT source_id AS query_id, concat_ws(chr(10), p, g) AS prompt, coalesce(n_passages, 0) AS n_passages, coalesce(n_items, 0) AS n_items FROM legal l LEFT JOIN passages ON passages.query_id = source_id LEFT JOIN graph_text ON graph_text.query_id = source_id)"""
+_GRAPH_HITS = with_(*GRAPH, _HIT_ROWS, _ITEMS.replace("\\'", "''"))
+
+
+def _prompt_parts(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame, DataFrame]:
+    graph = Graph(spark, sf_dir)
+    h = _hits(spark, sf_dir).where("rank <= 10")
+    return graph, h, cx.graph_items(it.seeds_of_hits(h), graph.edges, graph.nodes)
+
+
+@query(_GRAPH_HITS + "SELECT query_id, md5(prompt) AS prompt_md5, n_passages, n_items FROM prompts")
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, h, items = _prompt_parts(spark, sf_dir)
+    d = cx.context_prompt(graph.docs.select(F.col("source_id").alias("query_id")), h, items)
+    return d.select("query_id", F.md5("prompt").alias("prompt_md5"), "n_passages", "n_items")
+
+
+@query(_GRAPH_HITS + "SELECT query_id, CAST(place AS INT) AS place, CAST(kind AS INT) AS kind, other, md5(text) AS text_md5 FROM items")
+def graph_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompt_parts(spark, sf_dir)[2].select("query_id", "place", "kind", "other", F.md5("text").alias("text_md5"))
+
+
 @query(
-    _HITS + """SELECT query_id, md5(string_agg('[Passage ' || rank || '] Source: ' || upper(source_id) || ' | Location: ' || concat_ws(' > ', article, section) || ' | Type: ' || instrument_type || chr(10) || text, chr(10) ORDER BY rank)) AS prompt_md5,
-    count(*) AS passages FROM hits WHERE rank <= 10 GROUP BY query_id"""
+    _GRAPH_HITS + """, counted AS (
+    SELECT a.node_id AS ref, (SELECT count(*) FROM edges e WHERE e.src = a.node_id AND e.type = 'DEFINES') AS n_definitions, coalesce(max(d.n), 0) AS n_obligations,
+    coalesce(string_agg(d.dst || '|' || substr(d.description, 1, 120), chr(10) ORDER BY d.dst) FILTER (d.r <= 5), '') AS shown FROM articles a LEFT JOIN duty d ON d.ref = a.node_id GROUP BY a.node_id)
+    SELECT ref, n_definitions, n_obligations, md5(shown) AS shown_md5, (SELECT count(*) FROM ends WHERE ends.ref = counted.ref) AS n_references,
+    coalesce((SELECT string_agg(target, ', ' ORDER BY way, other) FROM ends WHERE ends.ref = counted.ref AND r <= 8), '') AS refs FROM counted"""
 )
-def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _hits(spark, sf_dir).where("rank <= 10")
-    line = cx.passage(F.col("source_id"), F.col("article"), F.col("section"), F.col("instrument_type"), F.col("rank"), F.col("text"))
-    d = cx.ordered_lines(h, "query_id", ["rank"], line, "\n", "prompt")
-    return d.join(h.groupBy("query_id").agg(F.count(F.lit(1)).alias("passages")), "query_id").select("query_id", F.md5("prompt").alias("prompt_md5"), "passages")
+def article_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, most = Graph(spark, sf_dir), cx.IN_EVIDENCE
+    d = cx.article_parts(graph.articles.select(F.col("node_id").alias("ref")), graph.edges, graph.nodes)
+    shown = F.array_join(F.transform(F.slice("obligations", 1, most["obligations"]), lambda x: F.concat(x["other"], F.lit("|"), F.substring(x["description"], 1, most["obligation"]))), "\n")
+    return d.select(
+        "ref", F.coalesce(F.size("definitions").cast("long"), F.lit(0)).alias("n_definitions"), "n_obligations", F.md5(F.coalesce(shown, F.lit(""))).alias("shown_md5"), "n_references",
+        F.coalesce(F.array_join(F.slice("references", 1, most["references"]), ", "), F.lit("")).alias("refs"),
+    )
 
 
 @query(
