@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import chunk_corpus
-from ..sources.tables import upserted
+from ..sources.keyed import KeyedTable
 
 DOCUMENT = "source_id string, instrument_type string, jurisdiction string, full_text string"
+#: Batches that a chunk table gathers before it is compacted.
+MOST = 16
+
+
+def chunk_table(spark: SparkSession, path: str) -> KeyedTable:
+    """Chunks, replaced document by document."""
+    return KeyedTable(spark, path, ["source_id"])
 
 
 def chunk_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Read Parquet documents as they arrive and keep a chunk table (a folder per batch, the latest holds all).
+    """Read Parquet documents as they arrive and keep a chunk table.
 
-    A batch replaces all chunks of the documents it brings.  A batch that runs
-    again after a failure reads the same predecessor and writes the same folder.
+    A batch replaces all chunks of the documents it brings (of a document that
+    comes twice in a batch the greatest row counts); a document whose text is
+    null or empty loses its chunks.  A batch writes its own chunks only, and one
+    that runs again after a failure changes nothing more.
     """
+    table = chunk_table(spark, target)
 
     def merge(batch: DataFrame, number: int) -> None:
-        chunks = chunk_corpus(batch.dropDuplicates(["source_id"])).withColumn("batch", F.lit(number))
-        before = latest(spark, target, number)
-        if before is not None:
-            chunks = before.join(batch.select("source_id").distinct(), "source_id", "left_anti").unionByName(upserted(chunks.limit(0), chunks, ["chunk_id"], "batch"))
-        chunks.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        spark.range(number, number + 1, 1, 1).toDF("number").write.mode("append").parquet(f"{target}_batches")
+        rest = [c for c in batch.columns if c != "source_id"]
+        docs = batch.groupBy("source_id").agg(F.max(F.struct(*rest)).alias("d")).select("source_id", "d.*")
+        table.merge(chunk_corpus(docs), number, gone=docs)
+        if table.pending() > MOST:
+            table.compact()
 
     return spark.readStream.schema(DOCUMENT).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest(spark: SparkSession, target: str, before: int = 1 << 62) -> DataFrame | None:
-    """The chunk table of the last batch below a number; a batch lists itself in `target`_batches once it is written."""
-    try:
-        done = spark.read.schema("number long").parquet(f"{target}_batches").where(F.col("number") < before).agg(F.max("number")).first()[0]
-    except AnalysisException:  # nothing written yet
-        return None
-    return None if done is None else spark.read.parquet(f"{target}/batch={done}")

@@ -12,7 +12,7 @@ from regspark.operators import interpret as it
 from regspark.operators import search as se
 from regspark.operators import tables as tb
 from regspark.sources import tables as src
-from regspark.streaming.ingest import chunk_stream, latest
+from regspark.streaming.ingest import chunk_stream, chunk_table
 
 EDGES = "src string, dst string, type string"
 
@@ -171,6 +171,6 @@ def test_stream_equals_batch(spark, tmp_path):
     for df in (first, second):
         df.write.mode("append").parquet(f"{tmp_path}/in")
         chunk_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    got = {(r.chunk_id, r.text) for r in latest(spark, f"{tmp_path}/out").collect()}
+    got = {(r.chunk_id, r.text) for r in chunk_table(spark, f"{tmp_path}/out").read().collect()}
     want = {(r.chunk_id, r.text) for r in chunk_corpus(first.where("source_id = 'b'").unionByName(second)).collect()}
     assert got == want
