@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from collections.abc import Iterator
+from functools import reduce
+from hashlib import md5
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from ..functions import vectors as vx
+from ..sources.tables import stored
 
-#: Queries that are sent to all tasks at once.
-SENT = 10_000
+#: Bytes of query vectors that are sent to all tasks, and of those in a block.
+SENT, QUERY_BLOCK = 64 << 20, 1 << 20
 
 
 def any_of(column: str, values: list | None) -> Column:
@@ -23,30 +32,143 @@ def metadata_filter(df: DataFrame, sources: list[str] | None = None, jurisdictio
     return df.where(any_of("source_id", sources) & any_of("jurisdiction", jurisdictions) & any_of("instrument_type", types))
 
 
-def similarities(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def packs(df: DataFrame, vec: str, most: int = 8 << 20, by: list[str] | None = None) -> DataFrame:
+    """(columns in `by`, items, matrix): the rows of df in packs, without a shuffle; the rows of a pack agree in `by`.
+
+    `items` has all other columns but the vector, `matrix` the vectors as 32-bit floats, at most `most` bytes of them.
+    Null vectors are zero ones.
+    """
+    by = by or []
+    rest = [c for c in df.columns if c != vec and c not in by]
+    own = df.select(*by, *rest, F.col(vec).cast("array<float>").alias(vec))
+    own = own.sortWithinPartitions(*by) if by else own
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    items = ", ".join(f"`{c}`: {kinds[c]}" for c in rest)
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(n + len(rest))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            dims = int(sizes.max(initial=0))
+            matrix = np.zeros((batch.num_rows, dims), np.float32)
+            if dims:
+                matrix[np.arange(dims) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+            struct = pa.StructArray.from_arrays([batch.column(n + k) for k in range(len(rest))], fields=[batch.schema.field(n + k) for k in range(len(rest))])
+            common = list(zip(*(batch.column(k).to_pylist() for k in range(n)), strict=True)) if n else []
+            cuts = [i for i in range(1, len(common)) if common[i] != common[i - 1]]
+            step = max(1, most // max(4, 4 * dims))
+            for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                for at in range(begin, end, step):
+                    part = struct.slice(at, min(step, end - at))
+                    packed = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.array([matrix[at : at + len(part)].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 1) for k in range(n)), *packed], names=[*by, "items", "matrix"])
+
+    return own.mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in by) + f"items array<struct<{items}>>, matrix binary")
+
+
+def units(matrix: bytes, rows: int) -> np.ndarray:
+    """The vectors of a pack at length one, in doubles; zero vectors stay zero."""
+    m = np.frombuffer(matrix, np.float32).reshape(rows, -1).astype(np.float64)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def best_of_row(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by id; sums in another order are the same to twelve places."""
+    scores = np.round(scores, 12)
+    if len(scores) > k:
+        line = np.partition(scores, len(scores) - k)[len(scores) - k]
+        kept = np.flatnonzero(scores >= line)
+    else:
+        kept = np.arange(len(scores))
+    return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
+
+
+def products(pairs: DataFrame, asked: list[StructField], rows: list[StructField], k: int | None) -> DataFrame:
+    """The scores of packs (rows, m) and blocks of queries (items, matrix) that meet: all of them, or the k best of each query and pack."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (*asked, *rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                rows, asked = (batch.column(i).slice(r, 1).flatten() for i in (0, 2))
+                if not len(rows) or not len(asked):
+                    continue
+                one, two = units(batch.column(3)[r].as_py(), len(asked)), units(batch.column(1)[r].as_py(), len(rows))
+                if one.shape[1] != two.shape[1]:  # a block or pack of null vectors alone
+                    one, two = np.zeros((len(one), 1)), np.zeros((len(two), 1))
+                similar = one @ two.T
+                if k is None:
+                    who, which = np.divmod(np.arange(similar.size), len(rows))
+                else:
+                    ids = rows.field("chunk_id").to_numpy(zero_copy_only=False)
+                    ids = ids.astype(str) if ids.dtype == object else ids
+                    best = [best_of_row(s, ids, k) for s in similar]
+                    who, which = np.repeat(np.arange(len(asked)), [len(b) for b in best]), np.concatenate(best)
+                for at in range(0, len(who), 1 << 18):
+                    a, b = who[at : at + (1 << 18)], which[at : at + (1 << 18)]
+                    taken = [*asked.take(pa.array(a)).flatten(), *rows.take(pa.array(b)).flatten(), pa.array(similar[a, b])]
+                    yield pa.RecordBatch.from_arrays(taken, names=[*(f.name for f in asked.type), *(f.name for f in rows.type), "similarity"])
+
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    return pairs.select("rows", "m", "items", "matrix").mapInArrow(run, f"{kinds}, similarity double")
+
+
+def scored(queries: DataFrame, corpus: DataFrame, k: int | None = None, filters: dict[str, str] | None = None) -> DataFrame:
     """(query columns, corpus columns, similarity) of a stated query set (query_id, query_vec) against all rows (chunk_id, vec).
 
-    Up to SENT queries are sent to all tasks; more are dealt to blocks of that
-    size, each of which meets all rows.  Norms are computed once per vector.
+    Both sides are packed, and a pack of rows meets a block of queries in one
+    matrix product.  With `k` a product leaves its task as the k best rows of
+    each query, so what is shuffled grows with queries and packs, not with
+    pairs.  Blocks are sent to all tasks while they hold SENT bytes, else each
+    pack is dealt to every block.
+
+    `filters` names, for columns of the corpus, the list of values that a query
+    wants (none or empty: all).  Packs and blocks agree in these, so a join on
+    (column, value) finds the packs of a block: an inverted index by which rows
+    of other values meet no query at all.
     """
-    q = queries.withColumn("_nq", vx.norm(F.col("query_vec")))
-    c = corpus.withColumn("_nc", vx.norm(F.col("vec")))
-    blocks = -(-queries.count() // SENT)
-    if blocks <= 1:
-        pairs = c.join(F.broadcast(q))
+    filters = filters or {}
+    lists = list(filters.values())
+    tidy = queries.withColumns({c: F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(c), F.array().cast(queries.schema[c].dataType)), lambda x: x.isNotNull()))) for c in lists})
+    q = stored(packs(tidy, "query_vec", QUERY_BLOCK, lists), "queries")
+    c = packs(corpus, "vec", by=list(filters)).withColumnsRenamed({"items": "rows", "matrix": "m"})
+    n, size = q.agg(F.count(F.lit(1)), F.sum(F.length("matrix"))).first()
+    any_value = F.lit(None)
+    # of each filter either one of the wanted values, or the mark of a query that takes all
+    for column, wanted in filters.items():
+        kind = corpus.schema[column].dataType
+        one = lambda v, all_: F.struct(v.alias("v"), F.lit(all_).alias("all"))
+        q = q.withColumn(f"_{column}", F.explode(F.when(F.size(wanted) == 0, F.array(one(any_value.cast(kind), True))).otherwise(F.transform(wanted, lambda v: F.struct(v.alias("v"), F.lit(False).alias("all"))))))
+        c = c.withColumn(f"_{column}", F.explode(F.array(one(F.col(column), False), one(any_value.cast(kind), True))))
+    on = [c[f"_{x}"]["all"].eqNullSafe(q[f"_{x}"]["all"]) & c[f"_{x}"]["v"].eqNullSafe(q[f"_{x}"]["v"]) for x in filters]
+    if (size or 0) <= SENT:
+        pairs = c.join(F.broadcast(q), reduce(and_, on)) if on else c.join(F.broadcast(q))
+    elif on:
+        pairs = c.join(q, reduce(and_, on))
     else:
-        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = c.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "_block").drop("_block")
-    return pairs.withColumn("similarity", vx.cosine(F.col("query_vec"), F.col("vec"), F.col("_nq"), F.col("_nc"))).drop("_nq", "_nc", "query_vec", "vec")
+        # blocks are numbered by their hashes alone, and equal blocks may share a number
+        named = q.withColumn("_h", F.xxhash64("matrix", F.hash("items")))
+        numbers = stored(named.select("_h").distinct().withColumn("block", F.row_number().over(Window.orderBy("_h")) - 1), "blocks")
+        pairs = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(named.join(numbers, "_h"), "block")
+    rest = [f for f in queries.schema.fields if f.name != "query_vec" and f.name not in lists], [f for f in corpus.schema.fields if f.name != "vec" and f.name not in filters]
+    return products(pairs, *rest, k)
+
+
+def similarities(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Every pair of a stated query set with all rows, for full rankings."""
+    return scored(queries, corpus)
 
 
 def ranked(pairs: DataFrame, tie: str = "chunk_id") -> DataFrame:
     """Adds `rank` per query, 1 for the most similar, ties by id."""
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc(tie))))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), F.asc(tie))))
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
-    return ranked(similarities(queries, corpus)).where(F.col("rank") <= k)
+def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, filters: dict[str, str] | None = None) -> DataFrame:
+    """The k most similar rows of each query, of those that its own `filters` (corpus column: column with the wanted values) let through."""
+    return ranked(scored(queries, corpus, k, filters)).where(F.col("rank") <= k)
 
 
 def top_k_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, tables: int = 12, bucket: float = 2.0, radius: float = 1.42, seed: int = 7) -> DataFrame:
@@ -73,9 +195,51 @@ def recall(approximate: DataFrame, exact: DataFrame) -> float:
     return both / max(1, exact.count())
 
 
-def embedded(df: DataFrame, text: str, dims: int = 256) -> DataFrame:
-    """Adds `vec`: hashed word counts, weighted by rarity over all rows, at length one; null texts are empty."""
-    rows = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    steps = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dims), IDF(inputCol="_counts", outputCol="_rare"), Normalizer(inputCol="_rare", outputCol="_unit")]
-    made = Pipeline(stages=steps).fit(rows).transform(rows)
-    return made.withColumn("vec", vector_to_array("_unit")).drop("_text", "_words", "_counts", "_rare", "_unit")
+def fitted(df: DataFrame, text: str, dims: int = 256) -> DataFrame:
+    """A featuriser as a table (dim, idf, documents) of `dims` rows: how rare the words of each dimension are in the rows of df.
+
+    Store it and give it to `embedded` for corpus and questions alike.
+    """
+    features = df.select(F.explode(F.array_distinct(F.transform(_tokens(F.col(text)), lambda w: _dimension(w, dims)))).alias("dim")).groupBy("dim").count()
+    total = df.agg(F.count(F.lit(1)).alias("documents"))
+    every = df.sparkSession.range(dims).select(F.col("id").cast("int").alias("dim")).join(features, "dim", "left").join(F.broadcast(total))
+    return every.select("dim", F.log((F.col("documents") + 1) / (F.coalesce("count", F.lit(0)) + 1)).alias("idf"), "documents")
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _dimension(word: Column, dims: int) -> Column:
+    return (F.conv(F.substring(F.md5(word), 1, 4), 16, 10).cast("int") % dims).cast("int")
+
+
+def embedded(df: DataFrame, text: str, model: DataFrame) -> DataFrame:
+    """Adds `vec`: counts of hashed words times the rarity in `model`, at length one (zero for texts without known words).
+
+    A text has the same vector whatever rows it comes with.  Null texts are empty.  The model has a few hundred
+    rows, which the tasks get as one array.
+    """
+    idf = np.array([r.idf for r in model.orderBy("dim").collect()])
+    own = df.withColumn("_words", _tokens(F.col(text)))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    columns = [c for c in own.columns if c != "_words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            words = batch.column(batch.num_columns - 1)
+            if len(known) > 1 << 18:
+                known.clear()
+            flat = words.flatten().to_pylist()
+            for w in set(flat) - known.keys():
+                known[w] = int(md5(w.encode()).hexdigest()[:4], 16) % len(idf)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(words)))
+            place = row * len(idf) + np.fromiter((known[w] for w in flat), np.int64, len(flat))
+            m = np.bincount(place, minlength=batch.num_rows * len(idf)).reshape(batch.num_rows, -1) * idf
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(idf), pa.int32()), pa.array(m.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vec], names=[*columns, "vec"])
+
+    return own.select(*columns, "_words").mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in columns) + "vec array<double>")

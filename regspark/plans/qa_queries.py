@@ -15,6 +15,7 @@ from ..operators import context as cx
 from ..operators import evaluate as ev
 from ..operators import interpret as it
 from ..operators import search as se
+from ..sources.tables import stored
 from .common import Area
 from .corpus import CHUNKS, GRAPH, LEGAL, SPANS, legal_docs, view, with_
 from .graph_queries import Graph
@@ -328,8 +329,7 @@ def retrieve_for_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("label") % 2 == 0, F.array().cast("array<int>")).otherwise(F.array("label", F.col("label") - 1))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), own.alias("labels"))
     c = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label")
-    pairs = se.similarities(q, c).where(it.list_filter(F.col("labels"), F.col("label")))
-    return se.ranked(pairs).where("rank <= 5").select("query_id", "chunk_id", "rank")
+    return se.top_k(q, c, 5, {"label": "labels"}).select("query_id", "chunk_id", "rank")
 
 
 @query(
@@ -340,7 +340,24 @@ def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.when(empty | tx.says_any(F.col("text")), "insufficient_evidence").otherwise("sufficient").alias("confidence"))
 
 
-@query()
+#: The featuriser in SQL: counts of hashed words, weighted by rarity, at length one.
+_MODEL = """tokens AS (SELECT k, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS w FROM texts),
+dims AS (SELECT k, CAST('0x' || substr(md5(w), 1, 4) AS INT) % 256 AS dim FROM tokens),
+idf AS (SELECT CAST(d AS INT) AS dim, ln(((SELECT count(*) FROM texts) + 1) / CAST(coalesce(n, 0) + 1 AS DOUBLE)) AS idf FROM range(256) r(d) LEFT JOIN (SELECT dim, count(DISTINCT k) AS n FROM dims GROUP BY dim) ON dim = d)"""
+
+
+@query("WITH texts AS (SELECT doc_id AS k, text FROM documents), " + _MODEL + "SELECT dim, round(idf, 9) AS idf, (SELECT count(*) FROM texts) AS documents FROM idf")
+def fit_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return se.fitted(view(spark, sf_dir, "documents"), "text").select("dim", F.round("idf", 9).alias("idf"), "documents")
+
+
+@query(
+    "WITH texts AS (SELECT doc_id AS k, text FROM documents), " + _MODEL + """, parts AS (SELECT k, dim, count(*) * any_value(idf) AS x FROM dims JOIN idf USING (dim) GROUP BY k, dim),
+    tops AS (SELECT k, sqrt(sum(x * x)) AS norm FROM parts GROUP BY k)
+    SELECT texts.k AS doc_id, 256 AS dims, round(coalesce(sum(x * x) / any_value(norm * norm), 0), 6) AS length, round(coalesce(sum(x * (dim % 16)) / any_value(norm), 0), 6) AS digest FROM texts LEFT JOIN parts ON parts.k = texts.k AND x > 0 LEFT JOIN tops ON tops.k = texts.k GROUP BY texts.k"""
+)
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = view(spark, sf_dir, "documents").select("doc_id", "text")
-    return se.embedded(d, "text").select("doc_id", F.size("vec").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
+    vectors = se.embedded(d, "text", stored(se.fitted(d, "text"), "model"))
+    digest = F.aggregate(F.transform("vec", lambda x, i: x * (i % 16)), F.lit(0.0), lambda a, x: a + x)
+    return vectors.select("doc_id", F.size("vec").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"), F.round(digest, 6).alias("digest"))
