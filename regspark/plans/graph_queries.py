@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as ch
 from ..operators import graph as g
-from ..sources.tables import stored_once, version
+from ..sources.tables import stored, stored_once, version
 from .common import Area
 from .corpus import ARTICLES, CHUNKS, GRAPH, LEGAL, SPANS, definition_chunks, equivalence_pairs, legal_docs, model_responses, statutes, view, with_
 
@@ -26,31 +26,35 @@ class Graph:
         self.spark = spark
         self.docs = legal_docs(spark, sf_dir)
         self.version = version(spark, f"{sf_dir}/documents.parquet")
-        self.chunks = self._once("chunks", lambda: ch.chunk_corpus(self.docs))
+        self.chunks = self.once("chunks", lambda: ch.chunk_corpus(self.docs))
         self.statutes = statutes(self.docs)
 
-    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         return stored_once(self.spark, name, self.version, build)
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that several steps of one query read."""
+        return stored(df, name)
+
     @property
     def articles(self) -> DataFrame:
-        return self._once("articles", lambda: g.articles(self.chunks))
+        return self.once("articles", lambda: g.articles(self.chunks))
 
     @property
     def definitions(self) -> DataFrame:
-        return self._once("definitions", lambda: g.definitions(definition_chunks(self.chunks), F.col("article") == "Art. 4"))
+        return self.once("definitions", lambda: g.definitions(definition_chunks(self.chunks), F.col("article") == "Art. 4"))
 
     @property
     def obligations(self) -> DataFrame:
-        return self._once("obligations", lambda: g.obligations(model_responses(g.obligation_candidates(self.articles, F.lit(True)))))
+        return self.once("obligations", lambda: g.obligations(model_responses(g.obligation_candidates(self.articles, F.lit(True)))))
 
     @property
     def references(self) -> DataFrame:
-        return self._once("references", lambda: g.references(self.chunks, self.articles, self.statutes))
+        return self.once("references", lambda: g.references(self.chunks, self.articles, self.statutes))
 
     @property
     def cites(self) -> DataFrame:
-        return self._once("cites", lambda: g.cites(self.chunks, self.articles, self.statutes))
+        return self.once("cites", lambda: g.cites(self.chunks, self.articles, self.statutes))
 
     @property
     def equivalents(self) -> DataFrame:
@@ -58,7 +62,7 @@ class Graph:
 
     @property
     def nodes(self) -> DataFrame:
-        return self._once("nodes", lambda: g.node_table(self.docs, self.articles, self.definitions, self.obligations))
+        return self.once("nodes", lambda: g.node_table(self.docs, self.articles, self.definitions, self.obligations))
 
     @property
     def edges(self) -> DataFrame:
@@ -66,7 +70,7 @@ class Graph:
             "CONTAINS": lambda: g.contains(self.articles), "REFERENCES": lambda: self.references, "CITES": lambda: self.cites, "EQUIVALENT_TO": lambda: self.equivalents,
             "DEFINES": lambda: g.defines(self.definitions), "IMPOSES": lambda: g.imposes(self.obligations),
         }
-        return self._once("edges", lambda: g.edge_table(self.nodes, {k: make() for k, make in kinds.items()}))
+        return self.once("edges", lambda: g.edge_table(self.nodes, {k: make() for k, make in kinds.items()}))
 
 
 @query(_NODES + "SELECT node_id, source_id, article_label, chapter, section, md5(full_text) AS text_md5 FROM articles")

@@ -106,8 +106,8 @@ def expand_seed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Prompts as SURVEY has them: for each document as a query, its ten first chunks, and what the graph has on the first five articles among these.
 _ITEMS = r"""first AS (SELECT * FROM hits WHERE rank <= 10),
-seeds AS (SELECT query_id, source_id || ':' || article AS ref, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), source_id || ':' || article) AS place FROM first WHERE article IS NOT NULL GROUP BY query_id, source_id, article QUALIFY place <= 5),
-duty AS (SELECT e.src AS ref, e.dst, o.obligation_type, o.description, row_number() OVER (PARTITION BY e.src ORDER BY e.dst) AS r, count(*) OVER (PARTITION BY e.src) AS n FROM edges e JOIN obligations o ON o.node_id = e.dst WHERE e.type = 'IMPOSES'),
+seeds AS (SELECT query_id, source_id || ':' || article AS ref, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), source_id || ':' || article) AS place FROM first WHERE article IS NOT NULL GROUP BY query_id, source_id, article QUALIFY place <= 5)"""
+_SECTIONS = r"""duty AS (SELECT e.src AS ref, e.dst, o.obligation_type, o.description, row_number() OVER (PARTITION BY e.src ORDER BY e.dst) AS r, count(*) OVER (PARTITION BY e.src) AS n FROM edges e JOIN obligations o ON o.node_id = e.dst WHERE e.type = 'IMPOSES'),
 ends AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY way, other) AS r FROM (SELECT src AS ref, 0 AS way, dst AS other, dst AS target FROM edges WHERE type = 'REFERENCES' UNION ALL SELECT dst, 1, src, dst FROM edges WHERE type = 'REFERENCES')),
 lines AS (
   SELECT e.src AS ref, 1 AS part, e.dst AS k, ' Definition: \'' || d.term || '\' — ' || substr(d.definition_text, 1, 200) AS line FROM edges e JOIN definitions d ON d.node_id = e.dst WHERE e.type = 'DEFINES' UNION ALL
@@ -119,9 +119,10 @@ items AS (
   SELECT query_id, place, 1, e.dst, chr(10) || '[Cross-jurisdictional equivalent: ' || ref || ' ↔ ' || e.dst || ']' FROM seeds JOIN (SELECT src, dst FROM equals UNION SELECT dst, src FROM equals) e ON e.src = ref UNION ALL
   SELECT query_id, place, 2, '', chr(10) || '[Guidance citing ' || ref || ']: ' || string_agg(title, ', ' ORDER BY c.src) FROM seeds JOIN citing c ON c.dst = ref JOIN legal l ON l.source_id = c.src GROUP BY query_id, place, ref),
 graph_text AS (SELECT query_id, count(*) AS n_items, chr(10) || ' Knowledge Graph Context ' || chr(10) || string_agg(text, chr(10) ORDER BY place, kind, other) AS g FROM items GROUP BY query_id),
-passages AS (SELECT query_id, count(*) AS n_passages, ' Retrieved Passages ' || chr(10) || string_agg('[Passage ' || rank || '] Source: ' || upper(source_id) || ' | Location: ' || concat_ws(' > ', article, section) || ' | Type: ' || instrument_type || chr(10) || text, chr(10) ORDER BY rank) AS p FROM first GROUP BY query_id),
-prompts AS (SELECT source_id AS query_id, concat_ws(chr(10), p, g) AS prompt, coalesce(n_passages, 0) AS n_passages, coalesce(n_items, 0) AS n_items FROM legal l LEFT JOIN passages ON passages.query_id = source_id LEFT JOIN graph_text ON graph_text.query_id = source_id)"""
-_GRAPH_HITS = with_(*GRAPH, _HIT_ROWS, _ITEMS.replace("\\'", "''"))
+passages AS (SELECT query_id, count(*) AS n_passages, ' Retrieved Passages ' || chr(10) || string_agg('[Passage ' || rank || '] Source: ' || upper(source_id) || ' | Location: ' || concat_ws(' > ', article, section) || ' | Type: ' || instrument_type || chr(10) || text, chr(10) ORDER BY rank) AS p FROM first GROUP BY query_id)"""
+_PROMPTS = """prompts AS (SELECT source_id AS query_id, concat_ws(chr(10), p, g) AS prompt, coalesce(n_passages, 0) AS n_passages, coalesce(n_items, 0) AS n_items FROM legal l LEFT JOIN passages ON passages.query_id = source_id LEFT JOIN graph_text ON graph_text.query_id = source_id)"""
+_SECTIONS = _SECTIONS.replace("\\'", "''")
+_GRAPH_HITS = with_(*GRAPH, _HIT_ROWS, _ITEMS, _SECTIONS, _PROMPTS)
 
 
 def _prompt_parts(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame, DataFrame]:
