@@ -1,11 +1,11 @@
 """Scores as column expressions."""
 
-from __future__ import annotations
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from .text import let
+from pyspark.sql.types import IntegerType
 
 #: Words that do not count as fabricated.
 FILLERS = tuple(
@@ -13,21 +13,29 @@ FILLERS = tuple(
 )
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of words: a fold over the rows of the table, one row at a time."""
-
-    def of(b: Column) -> Column:
-        def next_row(row: Column, x: Column) -> Column:
-            def cell(done: Column, j: Column) -> Column:
-                best = F.least(F.element_at(done, -1) + 1, F.get(row, j) + 1, F.get(row, j - 1) + F.when(F.get(b, j - 1) == x, 0).otherwise(1))
-                return F.array_append(done, best)
-
-            start = F.array(F.get(row, F.lit(0)) + 1)
-            return F.when(F.size(b) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), start, cell))
-
-        return F.element_at(F.aggregate(a, F.sequence(F.lit(0), F.size(b)), next_row), -1)
-
-    return let(b, of)
+def edits(a: Sequence[str], b: Sequence[str]) -> int:
+    """Levenshtein distance of two lists of words, a column of the table at a time as the bits of whole numbers."""
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    every, last, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    more, less = every, 0  # where a cell is one above, one below the one before it
+    for word in b:
+        met = places.get(word, 0)
+        level = (((met & more) + more) ^ more) | met | less
+        up, down = less | (every & ~(level | more)), more & level
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        more, less = down | (every & ~(met | less | up)), up & (met | less)
+    return distance
+
+
+@F.pandas_udf(IntegerType())
+def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of two arrays of words, in Arrow batches; null for a null array."""
+    return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:

@@ -18,18 +18,51 @@ def retrieval_scores(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(*(c.alias(n) for n, c in out.items()), F.round(F.coalesce(1 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)), 4).alias("reciprocal_rank"))
 
 
+def costs(rows: DataFrame, prices: DataFrame, name: str = "cost_usd") -> DataFrame:
+    """Adds what each row (model, input_tokens, output_tokens) cost by the price table (model, per_million_input, per_million_output).
+
+    Rows of a model without a price have a null cost.  The models, a handful of rows, decide nothing but this column.
+    """
+    p = prices.select("model", F.col("per_million_input").alias("_in"), F.col("per_million_output").alias("_out"))
+    cost = (F.col("input_tokens") * F.col("_in") + F.coalesce(F.col("output_tokens"), F.lit(0)) * F.col("_out")) / 1e6
+    return rows.join(p, "model", "left").withColumn(name, cost).drop("_in", "_out")
+
+
+def _mean(value: Column, digits: int, where: Column | None = None) -> Column:
+    x = value.cast("double") if where is None else F.when(where, value.cast("double"))
+    return F.round(F.coalesce(F.avg(x), F.lit(0.0)), digits)
+
+
 def retrieval_summary(scores: DataFrame, by_category: bool = False) -> DataFrame:
-    """Means per model, and with `by_category` per (model, category) too, in one pass (category null: all)."""
+    """Means per model, and with `by_category` per (model, category) too, in one pass (category null: all).
+
+    Scores to four places; latency to one and cost to eight, where the rows have latency_ms and cost_usd.
+    """
     means = [F.round(F.avg(c), 4).alias(c) for c in ("precision_at_5", "precision_at_10", "reciprocal_rank")]
+    means += [_mean(F.col(c), digits).alias(f"avg_{c}") for c, digits in (("latency_ms", 1), ("cost_usd", 8)) if c in scores.columns]
     if not by_category:
         return scores.groupBy("model").agg(*means)
     return scores.groupingSets([["model"], ["model", "category"]], "model", "category").agg(*means)
 
 
-def relevance_levels(rules: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, level): the first rule of a query, in order, whose source fits and whose pattern is in the chunk's field."""
-    r = F.broadcast(rules)  # curated rules, a few per query
-    met = chunks.join(r, (rules["rule_source"].isNull() | (rules["rule_source"] == chunks["source_id"])) & F.expr("regexp_like(field_text, pattern)"))
+def unpivoted(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """(chunk_id, source_id, field, value): a row for each of the fields, lists joined by spaces, null as an empty text; and one of no field."""
+    kinds = dict(chunks.dtypes)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ") if kinds[c].startswith("array") else F.col(c).cast("string")
+    pairs = [F.struct(F.lit(c).alias("field"), F.coalesce(text(c), F.lit("")).alias("value")) for c in fields]
+    pairs.append(F.struct(F.lit("").alias("field"), F.lit("").alias("value")))
+    return chunks.select("chunk_id", "source_id", F.explode(F.array(*pairs)).alias("p")).select("chunk_id", "source_id", "p.*")
+
+
+def relevance_levels(rules: DataFrame, chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """(query_id, chunk_id, level): the first rule of a query, in order, that a chunk meets.
+
+    A rule (query_id, rule_order, level, rule_source, match_field, pattern) is met where its source is the chunk's
+    or null and its pattern is found in its field.  `fields` are those that rules may name; a rule of any other
+    field tests an empty text.  Rules join chunks by field before any pattern is tried.
+    """
+    r = rules.withColumn("field", F.when(F.col("match_field").isin(fields), F.col("match_field")).otherwise(""))
+    met = unpivoted(chunks, fields).join(r, "field").where((F.col("rule_source").isNull() | (F.col("rule_source") == F.col("source_id"))) & F.expr("regexp_like(value, pattern)"))
     return met.groupBy("query_id", "chunk_id").agg(F.min_by("level", "rule_order").alias("level"))
 
 
@@ -46,19 +79,32 @@ def answer_scores(answers: DataFrame) -> DataFrame:
 
 
 def answer_summary(scores: DataFrame, key: str = "model") -> DataFrame:
-    well = F.col("evidence_sufficient")
-
-    def mean(value, where=None):
-        x = value.cast("double") if where is None else F.when(where, value.cast("double"))
-        return F.round(F.coalesce(F.avg(x), F.lit(0.0)), 3)
+    """Means per model to three places: citations over well-evidenced questions, calibration over all, uncertainty by evidence.
 
-    unsure = F.col("expressed_uncertainty").cast("int")
+    Latency to one place and cost to six, where the rows have latency_ms and cost_usd.
+    """
+    well, unsure = F.col("evidence_sufficient"), F.col("expressed_uncertainty").cast("int")
+    more = [_mean(F.col(c), digits).alias(f"avg_{c}") for c, digits in (("latency_ms", 1), ("cost_usd", 6)) if c in scores.columns]
     return scores.groupBy(key).agg(
-        mean(F.col("citation_precision"), well).alias("citation_precision"), mean(F.col("citation_recall"), well).alias("citation_recall"), mean(F.col("calibration_correct").cast("int")).alias("calibration"),
-        mean(unsure, ~well).alias("insufficient_rate"), mean(unsure, well).alias("false_refusal_rate"),
+        _mean(F.col("citation_precision"), 3, well).alias("citation_precision"), _mean(F.col("citation_recall"), 3, well).alias("citation_recall"),
+        _mean(F.col("calibration_correct").cast("int"), 3).alias("calibration"), _mean(unsure, 3, ~well).alias("insufficient_rate"), _mean(unsure, 3, well).alias("false_refusal_rate"), *more,
     )
 
 
+def transcript_summary(scores: DataFrame) -> DataFrame:
+    """Means per (model, preprocessing, context_biasing) of rows (wer, entity_wer, fabricated, latency_ms, category), and those of categories A and B; 0 without rows."""
+    a, b = F.col("category") == "A", F.col("category") == "B"
+    return scores.groupBy("model", "preprocessing", "context_biasing").agg(
+        _mean(F.col("wer"), 4).alias("avg_wer"), _mean(F.col("entity_wer"), 4).alias("avg_entity_wer"), _mean(F.col("fabricated"), 2).alias("avg_fabricated"), _mean(F.col("latency_ms"), 1).alias("avg_latency_ms"),
+        _mean(F.col("wer"), 4, a).alias("cat_a_wer"), _mean(F.col("wer"), 4, b).alias("cat_b_wer"), _mean(F.col("entity_wer"), 4, b).alias("cat_b_entity_wer"),
+    )
+
+
+def ms_per_page(documents: DataFrame) -> DataFrame:
+    """(source_id, ms_per_page) of documents with pages and total_ms; a document without pages counts as one page."""
+    return documents.select("source_id", F.round(F.col("total_ms") / F.greatest(F.lit(1), F.col("pages")), 2).alias("ms_per_page"))
+
+
 def transcript_scores(rows: DataFrame) -> DataFrame:
     """Adds wer, entity_wer and fabricated to rows (ground_truth, transcription, entities)."""
     truth, heard = tx.words(tx.normalised(F.col("ground_truth"))), tx.words(tx.normalised(F.col("transcription")))

@@ -15,7 +15,7 @@ from ..operators import context as cx
 from ..operators import evaluate as ev
 from ..operators import interpret as it
 from ..operators import search as se
-from ..sources.tables import stored
+from ..sources.tables import assembled, stored
 from .common import Area
 from .corpus import CHUNKS, GRAPH, LEGAL, SPANS, legal_docs, view, with_
 from .graph_queries import Graph
@@ -172,32 +172,51 @@ def benchmark_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("query_id", F.md5(cx.benchmark_prompt(F.col("context"), F.col("query_id"))).alias("prompt_md5"))
 
 
-_LEVELS = _HITS + """SELECT query_id, count(*) FILTER (level = 2) AS strong, count(*) FILTER (level = 1) AS weak FROM (
-  SELECT r.query_id, h.source_id, h.rank, arg_min(r.level, r.rule_order) AS level FROM hits h, (VALUES ('q1', 1, 2, 'Article [1-3]$'), ('q1', 2, 1, 'Article'), ('q2', 1, 1, 'Art[.] .*7')) r(query_id, rule_order, level, pattern)
-  WHERE regexp_matches(coalesce(h.article, ''), r.pattern) GROUP BY ALL) GROUP BY query_id"""
+#: Rules: query, order, level, source or none, field (one of them a list, one that no chunk has), pattern.
+_RULES = (
+    ("q1", 1, 2, None, "article", "Article [1-3]$"), ("q1", 2, 1, None, "article", "Article"), ("q2", 1, 1, None, "article", "Art[.] .*7"), ("q3", 1, 2, "doc4", "text", "[a-z]+"), ("q3", 2, 1, None, "cross_references", "(Article|Art[.]) 2( |$)"),
+    ("q4", 1, 1, None, "section", "^1$"), ("q4", 2, 2, "doc1", "no_such_field", "^$"), ("q5", 1, 2, None, "instrument_type", "guidance"), ("q5", 2, 1, None, "text", "the|die|le"),
+)
+_RULE = "query_id string, rule_order int, level int, rule_source string, match_field string, pattern string"
+_LABELS = with_(LEGAL, SPANS, CHUNKS) + ", rules(query_id, rule_order, level, rule_source, match_field, pattern) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in _RULES) + """),
+values_of AS (SELECT source_id, chunk_index, unnest(['article', 'text', 'cross_references', 'section', 'instrument_type', 'no_such_field']) AS match_field,
+  unnest([coalesce(article, ''), text, array_to_string(cross_references, ' '), coalesce(section, ''), instrument_type, '']) AS value FROM refs),
+labels AS (SELECT query_id, v.source_id, chunk_index, CAST(arg_min(level, rule_order) AS INT) AS level FROM values_of v JOIN rules r ON r.match_field = v.match_field AND (rule_source IS NULL OR rule_source = v.source_id) AND regexp_matches(value, pattern) GROUP BY ALL)
+"""
+
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Graph(spark, sf_dir).chunks.withColumn("chunk_id", F.concat_ws("#", "source_id", "chunk_index"))
+    return ev.relevance_levels(spark.createDataFrame(_RULES, _RULE), c, ["article", "text", "cross_references", "section", "instrument_type"])
 
-@query(_LEVELS)
+
+@query(_LABELS + "SELECT query_id, count(*) FILTER (level = 2) AS strong, count(*) FILTER (level = 1) AS weak FROM labels GROUP BY query_id")
 def relevance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([("q1", 1, 2, None, "Article [1-3]$"), ("q1", 2, 1, None, "Article"), ("q2", 1, 1, None, "Art[.] .*7")], "query_id string, rule_order int, level int, rule_source string, pattern string")
-    c = _hits(spark, sf_dir).select("source_id", F.concat_ws("#", "source_id", "rank").alias("chunk_id"), F.coalesce("article", F.lit("")).alias("field_text"))
-    return ev.relevance_levels(rules, c).groupBy("query_id").agg(F.count_if(F.col("level") == 2).alias("strong"), F.count_if(F.col("level") == 1).alias("weak"))
+    return _labels(spark, sf_dir).groupBy("query_id").agg(F.count_if(F.col("level") == 2).alias("strong"), F.count_if(F.col("level") == 1).alias("weak"))
 
 
 _ANSWERS = """answers AS (SELECT conv_id, turn, text || ' Article ' || (conv_id % 5 + 1) || ' and Art. ' || (turn + 1) || CASE WHEN conv_id % 4 = 0 THEN ' cannot determine' ELSE '' END AS response_text,
-  CASE WHEN conv_id % 3 = 0 THEN [] ELSE ['Article ' || (conv_id % 5 + 1), 'Article 9'] END AS expected, conv_id % 7 <> 0 AS evidence_sufficient, 'm' || (turn % 3) AS model FROM conversations WHERE role = 'assistant'),
+  CASE WHEN conv_id % 3 = 0 THEN [] ELSE ['Article ' || (conv_id % 5 + 1), 'Article 9'] END AS expected, conv_id % 7 <> 0 AS evidence_sufficient, 'm' || (turn % 3) AS model,
+  length(text) * 2 AS input_tokens, len(string_split(text, ' ')) AS output_tokens, value AS latency_ms FROM conversations LEFT JOIN (SELECT event_id, value FROM events) ON event_id = conv_id * 8 + turn WHERE role = 'assistant'),
+prices(model, per_million_input, per_million_output) AS (VALUES ('m0', 0.88, 0.88), ('m1', 0.15, 1.5), ('m2', 0.6, 0.6)),
 found AS (SELECT *, list_sort(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(response_text, '(?i)Article\\s+(\\d+)', 1), regexp_extract_all(response_text, '(?i)Art\\.\\s*(\\d+)', 1)), regexp_extract_all(response_text, '(?i)Recital\\s+(\\d+)', 1)), lambda n: 'Article ' || n))) AS found,
   """ + " OR ".join(f"contains(lower(response_text), '{p}')" for p in tx.UNCERTAINTY) + """ AS expressed_uncertainty FROM answers),
 scored AS (SELECT *, round(CASE WHEN len(found) > 0 AND len(expected) > 0 THEN len(list_intersect(found, expected)) / CAST(len(found) AS DOUBLE) WHEN len(found) = 0 AND len(expected) = 0 THEN 1.0 ELSE 0.0 END, 3) AS citation_precision,
   round(CASE WHEN len(expected) > 0 THEN len(list_filter(expected, lambda e: list_contains(found, e))) / CAST(len(expected) AS DOUBLE) ELSE 1.0 END, 3) AS citation_recall, expressed_uncertainty <> evidence_sufficient AS calibration_correct FROM found)"""
 
 
+#: US dollars for a million tokens read and written.
+_PRICES = (("m0", 0.88, 0.88), ("m1", 0.15, 1.5), ("m2", 0.6, 0.6))
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = view(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr(
         "conv_id", "turn", "concat(text, ' Article ', conv_id % 5 + 1, ' and Art. ', turn + 1, CASE WHEN conv_id % 4 = 0 THEN ' cannot determine' ELSE '' END) AS response_text",
-        "CASE WHEN conv_id % 3 = 0 THEN cast(array() as array<string>) ELSE array(concat('Article ', conv_id % 5 + 1), 'Article 9') END AS expected", "conv_id % 7 <> 0 AS evidence_sufficient", "concat('m', turn % 3) AS model",
+        "CASE WHEN conv_id % 3 = 0 THEN cast(array() as array<string>) ELSE array(concat('Article ', conv_id % 5 + 1), 'Article 9') END AS expected", "conv_id % 7 <> 0 AS evidence_sufficient", "concat('m', turn % 3) AS model", "length(text) * 2 AS input_tokens", "size(split(text, ' ')) AS output_tokens",
     )
-    return ev.answer_scores(a)
+    spent = view(spark, sf_dir, "events").select(F.col("event_id"), F.col("value").alias("latency_ms"))
+    timed = a.join(spent, F.col("event_id") == F.col("conv_id") * 8 + F.col("turn"), "left").drop("event_id")
+    return ev.costs(ev.answer_scores(timed), spark.createDataFrame(_PRICES, "model string, per_million_input double, per_million_output double"))
 
 
 @query("WITH " + _ANSWERS + " SELECT conv_id, turn, citation_precision, citation_recall, expressed_uncertainty, calibration_correct FROM scored")
@@ -208,7 +227,8 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH " + _ANSWERS + """ SELECT model, round(coalesce(avg(citation_precision) FILTER (evidence_sufficient), 0), 3) AS citation_precision, round(coalesce(avg(citation_recall) FILTER (evidence_sufficient), 0), 3) AS citation_recall,
     round(coalesce(avg(CAST(calibration_correct AS INT)), 0), 3) AS calibration, round(coalesce(avg(CAST(expressed_uncertainty AS INT)) FILTER (NOT evidence_sufficient), 0), 3) AS insufficient_rate,
-    round(coalesce(avg(CAST(expressed_uncertainty AS INT)) FILTER (evidence_sufficient), 0), 3) AS false_refusal_rate FROM scored GROUP BY model"""
+    round(coalesce(avg(CAST(expressed_uncertainty AS INT)) FILTER (evidence_sufficient), 0), 3) AS false_refusal_rate,
+    round(coalesce(avg(latency_ms), 0), 1) AS avg_latency_ms, round(avg((input_tokens * per_million_input + output_tokens * per_million_output) / 1e6), 6) AS avg_cost_usd FROM scored JOIN prices USING (model) GROUP BY model"""
 )
 def answer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.answer_summary(_answers(spark, sf_dir))
@@ -221,26 +241,34 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.transcript_scores(b)
 
 
-@query()
+_SPOKEN = r"""t AS (SELECT item_id, text AS a, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1 + item_id) % 5 <> 0 THEN w END), lambda w: w IS NOT NULL), ' ') || ' indeed' AS b,
+  [split_part(text, ' ', 2), split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4), 'absent words'] AS es FROM benchmark)"""
+_WORDS = _SPOKEN + r""",
+w AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(a), '[^\p{L}\p{M}\p{Nd}_\s-]', '', 'g'), '\S+') AS a, regexp_extract_all(regexp_replace(lower(b), '[^\p{L}\p{M}\p{Nd}_\s-]', '', 'g'), '\S+') AS b FROM t)"""
+#: All words, and those of the entities: what was said of them and what was heard.
+_BOTH = _WORDS + r""",
+e AS (SELECT item_id, flatten(list_transform(list_filter(es, lambda e: contains(lower(a), lower(e))), lambda e: regexp_extract_all(lower(e), '\S+'))) AS a,
+  flatten(list_transform(es, lambda e: CASE WHEN contains(lower(b), lower(e)) THEN regexp_extract_all(lower(e), '\S+') ELSE list_filter(regexp_extract_all(lower(e), '\S+'), lambda x: contains(lower(b), x)) END)) AS b FROM t),
+both_kinds AS (SELECT 'all' AS kind, * FROM w UNION ALL SELECT 'entities', * FROM e),
+dp AS (
+  SELECT kind, item_id, a, b, 0 AS i, CAST(range(0, len(b) + 1) AS BIGINT[]) AS r FROM both_kinds UNION ALL
+  SELECT kind, item_id, a, b, i + 1, list_reduce(list_prepend([CAST(i + 1 AS BIGINT)], list_transform(range(1, len(b) + 1), lambda j: [least(r[j + 1] + 1, r[j] + CASE WHEN b[j] = a[i + 1] THEN 0 ELSE 1 END)])), lambda x, y: list_append(x, least(y[1], x[len(x)] + 1))) FROM dp WHERE i < len(a)),
+rates AS (SELECT kind, item_id, CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 OR kind = 'entities' THEN 0.0 ELSE 1.0 END WHEN kind = 'entities' AND len(b) = 0 THEN 1.0 ELSE r[len(b) + 1] / CAST(len(a) AS DOUBLE) END AS rate FROM dp WHERE i = len(a)),
+heard AS (SELECT x.item_id, x.rate AS wer, y.rate AS entity_wer, CAST(len(list_filter(w.b, lambda v: NOT list_contains(w.a, v) AND NOT list_contains([""" + ", ".join(f"'{x}'" for x in FILLERS) + """], v))) AS INT) AS fabricated
+  FROM rates x JOIN rates y ON y.item_id = x.item_id AND y.kind = 'entities' JOIN w ON w.item_id = x.item_id WHERE x.kind = 'all')"""
+
+
+@query("WITH RECURSIVE " + _BOTH + " SELECT item_id, round(wer, 4) AS wer, round(entity_wer, 4) AS entity_wer, fabricated FROM heard")
 def transcript_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transcripts(spark, sf_dir).select("item_id", F.round("wer", 4).alias("wer"), F.round("entity_wer", 4).alias("entity_wer"), "fabricated")
 
 
-_WORDS = r"""t AS (SELECT item_id, text AS a, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (i - 1 + item_id) % 5 <> 0 THEN w END), lambda w: w IS NOT NULL), ' ') || ' indeed' AS b FROM benchmark),
-w AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(a), '[^\p{L}\p{M}\p{Nd}_\s-]', '', 'g'), '\S+') AS a, regexp_extract_all(regexp_replace(lower(b), '[^\p{L}\p{M}\p{Nd}_\s-]', '', 'g'), '\S+') AS b FROM t)"""
-
-
-@query(
-    "WITH RECURSIVE " + _WORDS + """, dp AS (
-      SELECT item_id, a, b, 0 AS i, CAST(range(0, len(b) + 1) AS BIGINT[]) AS r FROM w UNION ALL
-      SELECT item_id, a, b, i + 1, list_reduce(list_prepend([CAST(i + 1 AS BIGINT)], list_transform(range(1, len(b) + 1), lambda j: [least(r[j + 1] + 1, r[j] + CASE WHEN b[j] = a[i + 1] THEN 0 ELSE 1 END)])), lambda x, y: list_append(x, least(y[1], x[len(x)] + 1))) FROM dp WHERE i < len(a))
-    SELECT item_id, round(CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END ELSE r[len(b) + 1] / CAST(len(a) AS DOUBLE) END, 4) AS wer FROM dp WHERE i = len(a)"""
-)
+@query("WITH RECURSIVE " + _BOTH + " SELECT item_id, round(wer, 4) AS wer FROM heard")
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transcripts(spark, sf_dir).select("item_id", F.round("wer", 4).alias("wer"))
 
 
-@query()
+@query("WITH RECURSIVE " + _BOTH + " SELECT item_id, round(entity_wer, 4) AS entity_wer FROM heard")
 def entity_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transcripts(spark, sf_dir).select("item_id", F.round("entity_wer", 4).alias("entity_wer"))
 
@@ -253,10 +281,18 @@ def fabricated_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transcripts(spark, sf_dir).select("item_id", "fabricated")
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + _BOTH + """, runs AS (SELECT h.*, 'm' || (h.item_id % 3) AS model, CASE WHEN h.item_id % 4 < 2 THEN 'denoised' ELSE 'none' END AS preprocessing, h.item_id % 5 = 0 AS context_biasing, CASE WHEN length(text) % 2 = 0 THEN 'A' ELSE 'B' END AS category, coalesce(value, 0) AS latency_ms
+      FROM heard h JOIN benchmark USING (item_id) LEFT JOIN events ON event_id = h.item_id)
+    SELECT model, preprocessing, context_biasing, round(avg(wer), 4) AS avg_wer, round(avg(entity_wer), 4) AS avg_entity_wer, round(avg(fabricated), 2) AS avg_fabricated, round(avg(latency_ms), 1) AS avg_latency_ms,
+    round(coalesce(avg(wer) FILTER (category = 'A'), 0), 4) AS cat_a_wer, round(coalesce(avg(wer) FILTER (category = 'B'), 0), 4) AS cat_b_wer, round(coalesce(avg(entity_wer) FILTER (category = 'B'), 0), 4) AS cat_b_entity_wer FROM runs GROUP BY ALL"""
+)
 def transcript_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _transcripts(spark, sf_dir).withColumn("config", F.col("item_id") % 4)
-    return t.groupBy("config").agg(*(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in ("wer", "entity_wer", "fabricated")))
+    t = _transcripts(spark, sf_dir).selectExpr(
+        "*", "concat('m', item_id % 3) AS model", "CASE WHEN item_id % 4 < 2 THEN 'denoised' ELSE 'none' END AS preprocessing", "item_id % 5 = 0 AS context_biasing", "CASE WHEN length(ground_truth) % 2 = 0 THEN 'A' ELSE 'B' END AS category"
+    )
+    spent = view(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("value").alias("latency_ms"))
+    return ev.transcript_summary(t.join(spent, "item_id", "left").withColumn("latency_ms", F.coalesce("latency_ms", F.lit(0.0))))
 
 
 _TRUTH = "truth AS (SELECT source_id, CAST(n AS VARCHAR) AS n FROM legal, range(1, 8) x(n))"
@@ -298,26 +334,22 @@ def table_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.table_recall(o, found)
 
 
-@query(
-    _HITS + """SELECT r.query_id, h.source_id, h.rank, CAST(arg_min(r.level, r.rule_order) AS INT) AS level FROM hits h,
-    (VALUES ('q1', 1, 2, 'Article [1-3]$'), ('q1', 2, 1, 'Article'), ('q2', 1, 1, 'Art[.] .*7')) r(query_id, rule_order, level, pattern) WHERE regexp_matches(coalesce(h.article, ''), r.pattern) GROUP BY ALL"""
-)
+@query(_LABELS + "SELECT query_id, source_id, chunk_index, level FROM labels")
 def label_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([("q1", 1, 2, None, "Article [1-3]$"), ("q1", 2, 1, None, "Article"), ("q2", 1, 1, None, "Art[.] .*7")], "query_id string, rule_order int, level int, rule_source string, pattern string")
-    c = _hits(spark, sf_dir).select("source_id", F.concat_ws("#", "source_id", "rank").alias("chunk_id"), F.coalesce("article", F.lit("")).alias("field_text"))
-    d = ev.relevance_levels(rules, c)
-    return d.select("query_id", F.split_part("chunk_id", F.lit("#"), F.lit(1)).alias("source_id"), F.split_part("chunk_id", F.lit("#"), F.lit(2)).cast("int").alias("rank"), "level")
+    parts = F.split("chunk_id", "#")
+    return _labels(spark, sf_dir).select("query_id", F.get(parts, F.lit(0)).alias("source_id"), F.get(parts, F.lit(1)).cast("long").alias("chunk_index"), "level")
 
 
 @query(
-    with_(LEGAL, _TRUTH) + """SELECT source_id, round(avg(CAST(contains(full_text, 'Article ' || n) OR contains(full_text, 'Art. ' || n) AS INT)), 4) AS structure, CAST(length(full_text) // greatest(1, len(string_split(full_text, chr(10)))) AS BIGINT) AS ms_per_page
-    FROM legal JOIN truth USING (source_id) GROUP BY source_id, full_text"""
+    with_(LEGAL, _TRUTH) + """, timed AS (SELECT 'doc' || doc_id AS source_id, (200 * CAST(sum(length(l)) AS BIGINT) + count(*)) // (2 * count(*)) / 100.0 AS ms_per_page FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) GROUP BY doc_id)
+    SELECT source_id, round(avg(CAST(contains(full_text, 'Article ' || n) OR contains(full_text, 'Art. ' || n) AS INT)), 4) AS structure, ms_per_page FROM legal JOIN truth USING (source_id) JOIN timed USING (source_id) GROUP BY source_id, ms_per_page"""
 )
 def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = legal_docs(spark, sf_dir)
     truth = d.select("source_id", F.explode(F.array(*(F.lit(str(n)) for n in range(1, 8)))).alias("n"))
-    pages = d.select("source_id", F.floor(F.length("full_text") / F.greatest(F.lit(1), F.size(F.split("full_text", "\n")))).alias("ms_per_page"))
-    return ev.named_share(d, truth, "n", "structure").select("source_id", F.round("structure", 4).alias("structure")).join(pages, "source_id")
+    lines = view(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("source_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("page", "content"))
+    pages = assembled(lines.withColumn("ms", F.length("content").cast("double")))
+    return ev.named_share(d, truth, "n", "structure").select("source_id", F.round("structure", 4).alias("structure")).join(ev.ms_per_page(pages), "source_id")
 
 
 @query(

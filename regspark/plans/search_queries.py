@@ -102,23 +102,35 @@ def reciprocal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MODEL = "CASE WHEN query_id % 100 = 0 THEN 'even' ELSE 'odd' END"
-_MEANS = "round(avg(precision_at_5), 4) AS precision_at_5, round(avg(precision_at_10), 4) AS precision_at_10, round(avg(reciprocal_rank), 4) AS reciprocal_rank"
+_MEANS = "round(avg(precision_at_5), 4) AS precision_at_5, round(avg(precision_at_10), 4) AS precision_at_10, round(avg(reciprocal_rank), 4) AS reciprocal_rank, round(coalesce(avg(latency_ms), 0), 1) AS avg_latency_ms, round(coalesce(avg(cost_usd), 0), 8) AS avg_cost_usd"
+#: US dollars for a million tokens.
+_PRICES = (("even", 0.13, 0.0), ("odd", 0.02, 0.0))
+_PAID = f"""paid AS (SELECT s.*, {_MODEL} AS model, query_label AS category, round(value, 1) AS latency_ms, (user_id % 500 + 1) * CASE WHEN query_id % 100 = 0 THEN 0.13 ELSE 0.02 END / 1e6 AS cost_usd FROM scores s LEFT JOIN events ON event_id = query_id)"""
 
 
-@query(_WITH[:-1] + ",\n" + _SCORES + f"SELECT {_MODEL} AS model, {_MEANS} FROM scores GROUP BY 1")
+def _paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of each query with what an event of its number took, and what its tokens cost."""
+    spent = view(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), F.round("value", 1).alias("latency_ms"), (F.col("user_id") % 500 + 1).alias("input_tokens"), F.lit(0).alias("output_tokens"))
+    s = _scores(spark, sf_dir).join(spent, "query_id", "left").withColumn("model", F.expr(_MODEL)).withColumn("category", F.col("query_label"))
+    return ev.costs(s, spark.createDataFrame(_PRICES, "model string, per_million_input double, per_million_output double"))
+
+
+_PAID_SCORES = _WITH[:-1] + ",\n" + _SCORES + ",\n" + _PAID
+
+
+@query(_PAID_SCORES + f" SELECT model, {_MEANS} FROM paid GROUP BY 1")
 def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.retrieval_summary(_scores(spark, sf_dir).withColumn("model", F.expr(_MODEL)))
+    return ev.retrieval_summary(_paid(spark, sf_dir))
 
 
-@query(_WITH[:-1] + ",\n" + _SCORES + f"SELECT model, category, {_MEANS} FROM (SELECT *, {_MODEL} AS model, query_label AS category FROM scores) GROUP BY GROUPING SETS ((model), (model, category))")
+@query(_PAID_SCORES + f" SELECT model, category, {_MEANS} FROM paid GROUP BY GROUPING SETS ((model), (model, category))")
 def retrieval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.retrieval_summary(_scores(spark, sf_dir).withColumn("model", F.expr(_MODEL)).withColumn("category", F.col("query_label")), by_category=True)
+    return ev.retrieval_summary(_paid(spark, sf_dir), by_category=True)
 
 
-@query(_WITH[:-1] + ",\n" + _SCORES + f"SELECT query_id, {_MODEL} AS model, CAST(precision_at_5 AS DOUBLE) AS precision_at_5, CAST(precision_at_10 AS DOUBLE) AS precision_at_10, CAST(reciprocal_rank AS DOUBLE) AS reciprocal_rank, query_id * 0.13 / 1e6 AS cost_usd FROM scores")
+@query(_PAID_SCORES + " SELECT query_id, model, CAST(precision_at_5 AS DOUBLE) AS precision_at_5, CAST(precision_at_10 AS DOUBLE) AS precision_at_10, CAST(reciprocal_rank AS DOUBLE) AS reciprocal_rank, latency_ms, round(cost_usd, 10) AS cost_usd FROM paid")
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _scores(spark, sf_dir).withColumn("model", F.expr(_MODEL)).withColumn("cost_usd", F.col("query_id") * F.lit(0.13) / F.lit(1e6))
-    return s.select("query_id", "model", "precision_at_5", "precision_at_10", "reciprocal_rank", "cost_usd")
+    return _paid(spark, sf_dir).select("query_id", "model", "precision_at_5", "precision_at_10", "reciprocal_rank", "latency_ms", F.round("cost_usd", 10).alias("cost_usd"))
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value * 0.15 / 1e6 + (event_id % 500) * 1.5 / 1e6), 6) AS cost_usd FROM events GROUP BY event_type")
