@@ -35,6 +35,8 @@ SHARD_SYMBOLS = 1 << 19
 BLOCK_BYTES = 32 << 20
 #: Windows that are searched at once.
 SEARCHED = 1 << 18
+#: Names of items in a batch of results.
+LISTED = 1 << 18
 #: The row number that identifies a document between blocks.
 ROW = "_row"
 #: Lower case for A-Z; a space for every ASCII byte that is no letter or digit; other bytes as they are.
@@ -129,21 +131,46 @@ class FMIndex:
         return found
 
 
+def named(ids: np.ndarray, k: int) -> np.ndarray:
+    """Numbers for the runs of k ids that begin at each place (where one ends in time); equal runs have equal numbers."""
+    names, have = ids.astype(np.int64), 1
+    while have < k:
+        step = min(have, k - have)
+        key = names[:-step] * (int(names.max(initial=0)) + 1) + names[step:]
+        names, have = np.unique(key, return_inverse=True)[1], have + step
+    return names
+
+
 class Phrases:
-    """The windows of a block of test items, as runs of word ids, and the item that each belongs to."""
+    """The different windows of a block of test items, as runs of word ids, and the items that each stands in.
+
+    A window that many items share is searched and located once; items come in
+    where spans are merged already, each once for a document.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
+        items = sorted(items)
         number = self.vocabulary.setdefault
         ids = [np.array([number(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
         sizes = np.array([len(x) for x in ids], np.int64)
-        self.items = [item for item, _ in items]
+        self.names = pa.array([item for item, _ in items], pa.string())
         self.ids = np.concatenate([np.zeros(window, np.int32), *ids])  # room before the first, for windows that are short
         times = np.maximum(sizes - window + 1, np.minimum(sizes, 1))
-        self.item = np.repeat(np.arange(len(items)), times)
+        item = np.repeat(np.arange(len(items)), times)
         begin = np.cumsum(sizes) - sizes + window
-        self.start = np.repeat(begin, times) + np.arange(len(self.item)) - np.repeat(np.cumsum(times) - times, times)
-        self.length = np.minimum(sizes, window)[self.item]
+        start = np.repeat(begin, times) + np.arange(len(item)) - np.repeat(np.cumsum(times) - times, times)
+        length = np.minimum(sizes, window)[item]
+        # windows by (length, name); the first of each is searched, and `owner` lists all their items
+        name = np.zeros(len(item), np.int64)
+        for k in np.unique(length):
+            own = length == k
+            name[own] = named(self.ids, int(k))[start[own]]
+        order = np.lexsort((item, name, length))
+        new = np.ones(len(order), bool)
+        new[1:] = (length[order][1:] != length[order][:-1]) | (name[order][1:] != name[order][:-1])
+        self.start, self.length = start[order][new], length[order][new]
+        self.owner, self.owners = item[order], np.append(np.flatnonzero(new), len(order))
 
     def windows(self, which: slice) -> np.ndarray:
         """Windows at the right end of their rows, zeros before them."""
@@ -153,9 +180,16 @@ class Phrases:
         rows[back[None, :] < -length[:, None]] = 0
         return rows
 
-    def scan(self, documents: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-        """Per document the merged [begin, end) spans of hit words, and the items whose windows occur."""
-        out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in documents]
+    def items_of(self, phrases: np.ndarray) -> np.ndarray:
+        """The items of different windows, each once, by name."""
+        begin, size = self.owners[phrases], self.owners[phrases + 1] - self.owners[phrases]
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        return np.unique(self.owner[place])
+
+    def scan(self, documents: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
+        """Per document the merged [begin, end) spans of hit words, and the windows that occur (for `items_of`)."""
+        nothing = np.zeros(0, np.int64)
+        out: list[tuple[list[tuple[int, int]], np.ndarray]] = [([], nothing) for _ in documents]
         symbols, origin, begins, total = [], [], [], 0
         for words in documents:
             ids = np.fromiter(map(lambda w, get=self.vocabulary.get: get(w, 0), words), np.int64, len(words))
@@ -177,17 +211,23 @@ class Phrases:
             found.append(at + np.repeat(hit, times))
             rows.append(np.repeat(low[hit] - np.concatenate([[0], np.cumsum(times)])[:-1], times) + np.arange(times.sum()))
         phrase = np.concatenate(found)
+        if not len(phrase):
+            return out
         place = index.locate(np.concatenate(rows))
         document = np.searchsorted(np.array(begins), place, side="right") - 1
         order = np.lexsort((place, document))
-        phrase = phrase[order]
-        for d, p, n, i in zip(document[order].tolist(), word_at[place[order]].tolist(), self.length[phrase].tolist(), self.item[phrase].tolist(), strict=True):
-            spans, items = out[d]
-            if spans and p <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(p + n, spans[-1][1]))
-            else:
-                spans.append((p, p + n))
-            items.add(self.items[i])
+        document, phrase = document[order], phrase[order]
+        begin = word_at[place[order]]
+        # spans of all documents on one line, a document's words far from the next one's
+        far = int(word_at.max()) + self.window + 1
+        reach = np.maximum.accumulate(document * far + begin + self.length[phrase])
+        first = np.flatnonzero(np.concatenate([[True], (document * far + begin)[1:] > reach[:-1]]))
+        last = np.append(first[1:], len(begin)) - 1
+        cut = np.searchsorted(document[first], np.arange(len(documents) + 1))
+        spans = np.stack([begin[first], reach[last] - document[first] * far], axis=1)
+        edge = np.searchsorted(document, np.arange(len(documents) + 1))
+        for d in np.unique(document).tolist():
+            out[d] = [tuple(s) for s in spans[cut[d] : cut[d + 1]].tolist()], np.unique(phrase[edge[d] : edge[d + 1]])
         return out
 
 
@@ -243,10 +283,18 @@ def block_scan(rows: DataFrame, key: str, text: str, block: Block) -> DataFrame:
         phrases = block.phrases()
         for keys, _, words in shards(batches):
             got = phrases.scan(words)
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(map(len, words), pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in s] for s, _ in got], span), pa.array([sorted(i) for _, i in got], pa.list_(pa.string()))],
-                names=[key, "n_words", "spans", "items"],
-            )
+            at = 0
+            while at < len(got):
+                end, items, held = at, [], 0
+                while end < len(got) and held < LISTED:  # rows leave before their lists of items fill a worker
+                    items.append(phrases.items_of(got[end][1]))
+                    held += len(items[-1])
+                    end += 1
+                edges = pa.array(np.cumsum([0, *map(len, items)]), pa.int32())
+                lists = pa.ListArray.from_arrays(edges, phrases.names.take(pa.array(np.concatenate(items))))
+                spans = pa.array([[{"begin": a, "end": b} for a, b in s] for s, _ in got[at:end]], span)
+                yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), pa.array(map(len, words[at:end]), pa.int64()), spans, lists], names=[key, "n_words", "spans", "items"])
+                at = end
 
     return source.mapInArrow(run, f"`{key}` {kind}, n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
 
@@ -271,7 +319,22 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     """What several blocks found, one row per row number."""
     every = reduce(DataFrame.unionByName, parts)
     found = every.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.withColumn("spans", F.expr(MERGE))
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column(2).to_pylist():
+                own: list[dict] = []
+                for s in spans or ():
+                    if own and s["begin"] <= own[-1]["end"]:
+                        own[-1]["end"] = max(own[-1]["end"], s["end"])
+                    else:
+                        own.append(s)
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind), batch.column(3)], names=batch.schema.names)
+
+    return found.select(ROW, "n_words", "spans", "items").mapInArrow(union, f"{ROW} long, n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -291,12 +354,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     return rows.select(ROW, key).join(found, ROW).select(key, "n_words", "spans", "items")
 
 
-MERGE = """aggregate(spans, cast(array() as array<struct<begin:bigint,end:bigint>>), (done, s) ->
-  case when size(done) > 0 and s.begin <= element_at(done, -1).end
-       then concat(slice(done, 1, size(done) - 1), array(named_struct('begin', element_at(done, -1).begin, 'end', greatest(s.end, element_at(done, -1).end))))
-       else concat(done, array(s)) end)"""
-
-
 def contamination_digest(found: DataFrame) -> DataFrame:
     """n_hit, n_items, items_sha256 and contaminated, from `contamination`."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
