@@ -10,8 +10,8 @@ that similarity differ in size by a quarter at most; tile pairs further apart
 in size, or in population counts by more than the radius, are skipped, and all
 others compared in full: numpy exclusive-or and bit counts.  What a task finds
 leaves it as a spanning forest, not as all pairs.  The sets of each cluster of
-proposals are then compared in chunks of bounded size, all pairs of chunks, and
-what is similar enough leaves those tasks as stars.
+proposals are then compared exactly, those of a large one with representatives
+first (`set_links`).
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, utf8_bytes, written
 from .components import components
-from .simhash import CHUNK, Links, shingle_hashes, stars
+from .set_links import similar_within
+from .simhash import CHUNK, shingle_hashes, stars
 
 SHINGLE = 5
 #: Similarity as a fraction, so that the comparison is one of whole numbers.
@@ -38,8 +39,6 @@ RADIUS, FEW, RADIUS_FEW = 116, 12, 136
 FIRST = 44
 BANDS = 4
 PAIRS_AT_ONCE = 1 << 18
-#: Shingles in a chunk of a cluster.
-CHUNK_SHINGLES = 200_000
 #: Nodes that are sent to all tasks; more of them are joined.
 SENT = 200_000
 BITS = [f"p{k}" for k in range(WORDS_WIDE)]
@@ -195,58 +194,6 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, "node long, shingles array<long>"), "sets")
 
 
-def similar_sets(x: pa.StructArray, y: pa.StructArray | None, links: Links) -> None:
-    """Add the links between the (node, shingles) of two chunks, or within one."""
-    own = y is None
-    y = x if own else y
-    (nodes_x, sets_x), (nodes_y, sets_y) = ((c.field(0).to_numpy(), c.field(1)) for c in (x, y))
-    size_x, size_y = (np.asarray(s.value_lengths(), np.int64) for s in (sets_x, sets_y))
-    all_x, all_y = (s.flatten().to_numpy() for s in (sets_x, sets_y))
-    known, place = np.unique(all_y, return_inverse=True)
-    begin = np.cumsum(size_y) - size_y
-    at = 0
-    for i, size in enumerate(size_x.tolist()):
-        mine = all_x[at : at + size]
-        at += size
-        first = i + 1 if own else 0
-        if first == len(size_y):
-            break
-        spot = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-        has = np.zeros(len(known), np.int64)
-        has[spot[known[spot] == mine]] = 1
-        both = np.add.reduceat(has[place[begin[first] :]], begin[first:] - begin[first])
-        near = first + np.flatnonzero(LEAST[1] * both >= LEAST[0] * (size + size_y[first:] - both))
-        links.add(np.full(len(near), nodes_x[i]), nodes_y[near])
-
-
-def confirmed(clusters: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what all similar pairs within a cluster (node, root) connect.
-
-    A cluster's sets are dealt by hash to chunks of about CHUNK_SHINGLES, or of one longer set.
-    """
-    spark = sets.sparkSession
-    bounded_batches(spark)
-    members = written(sets.join(clusters, "node").withColumn("size", F.size("shingles").cast("long")), "members")
-    parts = members.groupBy("root").agg(F.ceil(F.sum("size") / CHUNK_SHINGLES).cast("int").alias("m"))
-    chunk = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    chunks = members.join(written(parts, "parts"), "root").groupBy("root", "m", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "shingles")).alias("own"))
-    chunks = written(chunks, "chunks")
-    sent = chunks.where("chunk < m - 1").select("root", "own", F.explode(F.expr("sequence(chunk + 1, m - 1)")).alias("chunk"))
-    across = sent.join(chunks.where("m > 1").select("root", "chunk", F.col("own").alias("theirs")), ["root", "chunk"]).select("own", "theirs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = Links()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = (c.slice(k, 1).flatten() if c.slice(k, 1)[0].is_valid else None for c in batch.columns)
-                similar_sets(x, y, links)
-        a, b = links.shrink()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    within = chunks.select("own", F.expr("cast(null as array<struct<node:bigint,shingles:array<bigint>>>)").alias("theirs"))
-    return within.unionByName(across).mapInArrow(run, "a long, b long")
-
-
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (node, doc_id, t), the row with the least id of each shingle set, and (node, root) of all sets with a near copy."""
     rows = written(printed(docs), "printed")
@@ -255,7 +202,7 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = nodes.select("node", "row.doc_id", "row.t")
     clusters = written(components(proposals(nodes)), "clusters")
     sets = shingle_sets(docs, written(least.join(clusters, "node").select("t", "node"), "wanted"))
-    return least, components(confirmed(clusters, sets))
+    return least, components(similar_within(clusters, sets))
 
 
 def one_of_alike(docs: DataFrame) -> DataFrame:
@@ -269,5 +216,7 @@ def one_of_alike(docs: DataFrame) -> DataFrame:
     rooted = least.join(roots, "node", "left").where("doc_id is not null").select("doc_id", "t", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("row")).select("row.doc_id", F.col("row.t").alias("_t"))
     known = docs.where("doc_id is not null").withColumn("_t", F.xxhash64(F.col("text").cast("string")))
-    first = known.join(kept, ["doc_id", "_t"], "left_semi").dropDuplicates(["doc_id", "_t"]).select(docs.columns)
+    # of rows that share id and text the one with the least digest of all columns, so that a task that runs again picks the same
+    rows = known.join(kept, ["doc_id", "_t"], "left_semi").withColumn("_all", F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    first = rows.groupBy("doc_id", "_t").agg(F.min_by(F.struct(*docs.columns), "_all").alias("_row")).select("_row.*")
     return first.unionByName(docs.where("doc_id is null"))
