@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as ch
 from ..operators import graph as g
-from ..sources.tables import stored, stored_once, version
+from ..functions import text as tx
+from ..sources.keyed import KeyedTable
+from ..sources.tables import new_folder, stored, stored_once, version
 from .common import Area
 from .corpus import ARTICLES, CHUNKS, GRAPH, LEGAL, SPANS, definition_chunks, equivalence_pairs, legal_docs, model_responses, statutes, view, with_
 
@@ -317,9 +319,26 @@ def graph_view_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.view_nodes(around, hits)
 
 
-@query(with_(LEGAL, SPANS, CHUNKS) + "SELECT source_id || '#' || chunk_index AS key, coalesce(article, '') AS article, coalesce(section, '') AS section FROM chunks")
-def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.tables import upserted
+#: Three batches: all chunks; the even chunks of some documents, revised; one document of seven gone. What a batch brings replaces a document whole.
+_UPSERTED = r"""kept AS (
+  SELECT source_id, chunk_index, coalesce(article, '') AS article, coalesce(section, '') AS section, text || CASE WHEN doc_id % 3 = 1 THEN ' (revised)' ELSE '' END AS text,
+         sha1(CAST('\x6b\xa7\xb8\x10\x9d\xad\x11\xd1\x80\xb4\x00\xc0\x4f\xd4\x30\xc8' AS BLOB) || encode('regspark:' || source_id || ':' || chunk_index)) AS d
+  FROM chunks WHERE doc_id % 7 <> 0 AND (doc_id % 3 <> 1 OR chunk_index % 2 = 0))"""
+
 
-    rows = Graph(spark, sf_dir).chunks.select(F.concat_ws("#", "source_id", "chunk_index").alias("key"), F.coalesce("article", F.lit("")).alias("article"), F.coalesce("section", F.lit("")).alias("section"), F.lit(0).alias("v"))
-    return upserted(rows, rows.withColumn("v", F.lit(1)), ["key"], "v").select("key", "article", "section")
+@query(
+    with_(LEGAL, SPANS, CHUNKS, _UPSERTED)
+    + """SELECT substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', substr(d, 17, 1)) - 1) % 4 + 1] || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS key,
+    source_id, chunk_index, article, section, md5(text) AS text_md5 FROM kept"""
+)
+def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Graph(spark, sf_dir)
+    empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("article", "section")]
+    rows = graph.chunks.select(tx.uuid5(F.concat(F.lit("regspark:"), "source_id", F.lit(":"), F.col("chunk_index").cast("string"))).alias("key"), "source_id", F.col("chunk_index").cast("long").alias("chunk_index"), *empty, "text")
+    number = F.substring("source_id", 4, 20).cast("long")
+    table = KeyedTable(spark, new_folder(spark, "chunk_table"), ["source_id"])
+    table.merge(rows, 0)
+    table.compact()
+    table.merge(rows.where((number % 3 == 1) & (F.col("chunk_index") % 2 == 0)).withColumn("text", F.concat("text", F.lit(" (revised)"))), 1)
+    table.merge(rows.limit(0), 2, gone=graph.docs.where("doc_id % 7 = 0").select("source_id"))
+    return table.read().select("key", "source_id", "chunk_index", "article", "section", F.md5("text").alias("text_md5"))

@@ -32,10 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{tempfile.gettempdir()}/regspark").rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a table of its own in the shared folder."""
+    return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A table in the folder that all executors share, for what several later steps read."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,7 +60,7 @@ def stored_once(spark: SparkSession, name: str, of: str, build: Callable[[], Dat
     """The stored table `name` of the input version `of`: built when a session first asks for it, read from then on."""
     key = (spark.sparkContext.applicationId, name, of)
     if key not in _KEPT:
-        path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+        path = new_folder(spark, name)
         df = build()
         df.write.parquet(path)
         _KEPT[key] = (path, df.schema)
