@@ -145,12 +145,13 @@ _SPANS = """SELECT doc_id, i // 3 AS block, i AS span, w AS text, length(w) AS s
 
 @query(
     f"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents), s AS ({_SPANS} FROM w WHERE w <> '')
-    SELECT doc_id, CAST(block AS INT) AS block, md5(string_agg(text, chr(10) ORDER BY span)) AS text_md5, round(avg(size), 4) AS font_size, avg(CAST(bold AS INT)) > 0.5 AS bold FROM s GROUP BY doc_id, block"""
+    SELECT doc_id, CAST(block AS INT) AS block, md5(string_agg(text, chr(10) ORDER BY span)) AS text_md5, round(avg(size), 4) AS font_size,
+    CASE WHEN count_if(font = 'A') >= count_if(font = 'B') THEN 'A' ELSE 'B' END AS font, avg(CAST(bold AS INT)) > 0.5 AS bold FROM s GROUP BY doc_id, block"""
 )
 def block_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = view(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("i", "w")).where("w <> ''")
     spans = w.selectExpr("doc_id", "cast(i div 3 as int) AS block", "i AS span", "w AS text", "length(w) AS size", "CASE WHEN length(w) % 2 = 0 THEN 'A' ELSE 'B' END AS font", "length(w) > 5 AS bold")
-    return tb.blocks(spans, ["doc_id", "block"]).select("doc_id", "block", F.md5("text").alias("text_md5"), F.round("font_size", 4).alias("font_size"), "bold")
+    return tb.blocks(spans, ["doc_id", "block"]).select("doc_id", "block", F.md5("text").alias("text_md5"), F.round("font_size", 4).alias("font_size"), "font", "bold")
 
 
 @query(with_(LEGAL, SPANS, CHUNKS) + "SELECT count(*) AS n FROM chunks")

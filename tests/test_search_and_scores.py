@@ -136,3 +136,25 @@ def test_status_of_questions_without_words_or_context(spark):
     answers = spark.createDataFrame([("a", "By Article 6."), ("c", "By Article 7.")], "query_id string, answer string")
     got = {r.query_id: (r.n_hits, r.n_items, r.confidence, len(r.errors), r.stages[1], r.stages[3]) for r in it.status(q, prompts, answers).collect()}
     assert got == {"a": (3, 1, "sufficient", 0, "retrieve", "generate"), "b": (0, 0, "insufficient_evidence", 2, "retrieve:error", "generate:error"), "c": (0, 0, "insufficient_evidence", 1, "retrieve", "generate:error")}
+
+
+def test_cells_find_nine_of_ten_and_compare_a_fifth(spark):
+    """Over chunk texts: the share of the exact ten best (or of equals), and of all pairs that are compared."""
+    from pyspark.sql import functions as F
+
+    from regspark.operators import ann
+    from regspark.plans import question_queries as qq
+    from regspark.plans.graph_queries import Graph
+    from regspark.sources.tables import stored
+
+    graph = Graph(spark, "/root/testdata/sf0.01")
+    vectors = stored(qq._chunk_vectors(graph)[1].select("chunk_id", "vec"), "vectors")
+    asked = graph.chunks.where("cast(substr(source_id, 4) as bigint) % 50 = 0").select("chunk_id")
+    queries = stored(vectors.join(asked, "chunk_id").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec")), "asked")
+    exact = stored(se.top_k(queries, vectors, 10).select("query_id", F.col("similarity").alias("s")), "exact")
+    to = ann.centres(vectors, qq.CELLS)
+    index = stored(ann.indexed(vectors, to), "index")
+    assert index.count() == vectors.count()
+    got = ann.top_k_cells(queries, index, to, 10, qq.PROBES).join(exact.groupBy("query_id").agg(F.min("s").alias("tenth")), "query_id")
+    assert got.where("similarity >= tenth - 1e-9").count() >= 0.9 * exact.count()
+    assert ann.compared(queries, index, to, qq.PROBES) < 0.2 * vectors.count() * queries.count()
