@@ -139,8 +139,8 @@ ORDINARY = (
 )
 UNKNOWN, NONE = "unknown", "none"
 MAX_FEATURES = 4096
-#: The sample of the corpus that shows what is no licence: documents picked by hash, paragraphs, words of each.
-SAMPLED, MAX_NEGATIVES, NEGATIVE_WORDS = 1000, 4000, 40
+#: The sample of the corpus that shows what is no licence: documents and windows of their paragraphs, picked by hash, and words in a window.
+SAMPLED, MAX_NEGATIVES, WINDOW_WORDS = 1000, 4000, 40
 #: Share of right families among held-out windows that the least probability is fitted to.
 PRECISE = 0.98
 #: A template confirms a family that has so much of the paragraph's n-grams, or has so much of its own in the paragraph.
@@ -178,7 +178,7 @@ def training_rows(spark: SparkSession, sample: DataFrame) -> DataFrame:
     windows = own.select("label", "words", F.explode(F.expr(sizes)).alias("width")).where("width < size(words)")
     windows = windows.select("label", F.explode(F.expr("transform(sequence(0, size(words) - width), i -> slice(words, i + 1, width))")).alias("words"))
     whole = own.unionByName(own).unionByName(own).withColumn("held", F.lit(False))
-    rest = windows.unionByName(sample.select(F.lit(NONE).alias("label"), F.slice(words(), 1, NEGATIVE_WORDS).alias("words")))
+    rest = windows.unionByName(sample.select(F.lit(NONE).alias("label"), words().alias("words")))
     return whole.unionByName(rest.withColumn("held", F.pmod(F.xxhash64("words"), F.lit(3)) == 0))
 
 
@@ -249,10 +249,15 @@ def known_ngrams(w: str, last: str) -> Column:
 
 
 def corpus_sample(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most MAX_NEGATIVES paragraphs of about SAMPLED documents picked by hash: what a corpus has is seldom a licence."""
+    """At most MAX_NEGATIVES windows of about SAMPLED documents, picked by hash: what a corpus has is seldom a licence.
+
+    Whole paragraphs are cut in windows of WINDOW_WORDS, the last one shorter, and any of them may be picked.
+    """
     share = max(1, docs.count() // SAMPLED)
     picked = paragraphs(docs.where(F.pmod(F.xxhash64(key, text), F.lit(share)) == 0), key, text)
-    return picked.orderBy(F.xxhash64("paragraph", "nth"), "paragraph").limit(MAX_NEGATIVES).select("paragraph").distinct()
+    cut = f"transform(sequence(0, greatest(size(words) - 1, 0), {WINDOW_WORDS}), i -> array_join(slice(words, i + 1, {WINDOW_WORDS}), ' '))"
+    windows = picked.withColumn("words", words()).select("nth", F.explode(F.expr(cut)).alias("paragraph"))
+    return windows.orderBy(F.xxhash64("paragraph", "nth"), "paragraph").limit(MAX_NEGATIVES).select("paragraph").distinct()
 
 
 def licence_free(sample: DataFrame) -> DataFrame:
