@@ -111,9 +111,10 @@ def similar_within(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     small = members.join(large, "root", "left_anti").select(members.columns)
     group = ["root", "label", "mask"]
     both = small.unionByName(state)
-    parts = written(both.groupBy(*group).agg(F.ceil(F.sum(weight) / CHUNK).cast("int").alias("m")), "parts")
-    chunk = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    chunks = both.join(parts, group).groupBy(*group, chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "shingles")).alias("own"))
+    # only groups of several chunks are named in a table, so that rows go to their chunk, not to their group first
+    parts = both.groupBy(*group).agg(F.ceil(F.sum(weight) / CHUNK).cast("int").alias("m")).where("m > 1")
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("m", F.lit(1))).cast("int")
+    chunks = both.join(written(parts, "parts"), group, "left").groupBy(*group, chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "shingles")).alias("own"))
     chunks = written(chunks, "chunks")
     nothing = F.expr("cast(null as array<struct<node:bigint,shingles:array<bigint>>>)")
     within = chunks.where("label = 0").select("own", nothing.alias("theirs"))
