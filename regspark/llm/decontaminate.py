@@ -154,13 +154,15 @@ class Phrases:
         number = self.vocabulary.setdefault
         ids = [np.array([number(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in items]
         sizes = np.array([len(x) for x in ids], np.int64)
-        self.names = pa.array([item for item, _ in items], pa.string())
+        names = list(dict.fromkeys(item for item, _ in items))  # sorted, repeated items once
+        self.names, number_of = pa.array(names, pa.string()), {item: k for k, item in enumerate(names)}
         self.ids = np.concatenate([np.zeros(window, np.int32), *ids])  # room before the first, for windows that are short
         times = np.maximum(sizes - window + 1, np.minimum(sizes, 1))
-        item = np.repeat(np.arange(len(items)), times)
+        row = np.repeat(np.arange(len(items)), times)
+        item = np.array([number_of[item] for item, _ in items], np.int64)[row]
         begin = np.cumsum(sizes) - sizes + window
-        start = np.repeat(begin, times) + np.arange(len(item)) - np.repeat(np.cumsum(times) - times, times)
-        length = np.minimum(sizes, window)[item]
+        start = np.repeat(begin, times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        length = np.minimum(sizes, window)[row]
         # windows by (length, name); the first of each is searched, and `owner` lists all their items
         name = np.zeros(len(item), np.int64)
         for k in np.unique(length):
