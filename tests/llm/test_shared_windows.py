@@ -92,12 +92,17 @@ def test_nearly_all_tokens_lie_in_full_sequences():
     assert min(map(share_of_full, (plain, asked, plain + asked))) >= 0.95
 
 
-def test_plain_texts_bear_no_limited_loss(spark):
-    rows = [(1, prose(1, 900), None), (2, "ask\n" + prose(2, 900), None), (3, prose(3, 900), 5), (4, prose(4, 900), 0)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, free long")
-    loss = lambda df: {r.doc_id: r.x for r in df.groupBy("doc_id").agg({"n_loss": "sum"}).withColumnRenamed("sum(n_loss)", "x").collect()}
-    own, given = loss(pack_sequences(d)), loss(pack_sequences(d, prompt_tokens="free"))
-    assert own[1] == own[3] == own[4] == 0 < own[2] and given[1] == given[2] == 0 < min(given[3], given[4])
+def test_the_limit_does_not_count_plain_texts(spark):
+    """A text of one line fills sequences, though all of it bears loss; a number of prompt tokens makes it an instruction."""
+    rows = [(1, prose(1, 900), None), (3, prose(3, 900), 5), (4, prose(4, 900), 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, free long").coalesce(1)
+    pieces = pack_sequences(d).collect()
+    assert all(r.n_loss == r.length for r in pieces) and any(r.length == 1024 for r in pieces)
+    loss: dict = {}
+    for r in pack_sequences(d, prompt_tokens="free").collect():
+        loss.setdefault(r.sequence_id, []).append((r.doc_id, r.n_loss))
+        assert r.doc_tokens > 1024
+    assert all(sum(n for k, n in s if k != 1) <= LIMITS[2] for s in loss.values())
 
 
 def test_small_blocks_of_tokens_pack_the_same_ids(spark, monkeypatch):
