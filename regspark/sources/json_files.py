@@ -33,12 +33,12 @@ def _split(ddl: str) -> list[str]:
     return [*parts, now]
 
 
-def json_files(spark: SparkSession, path: str, schema: str, name: str | None = None) -> DataFrame:
+def json_files(spark: SparkSession, path: str, schema: str, name: str | None = None, single: bool = False) -> DataFrame:
     """(path, folder, file, content_md5, value, error) of every file under `path` (globs allowed; `name`: only files so called).
 
     `value` is what the file holds as `schema`, null where it holds something
     else; `error` says so.  A file that is cut off or no JSON is an error, and so is a
-    single object where a list is expected.  Files of no bytes are skipped, as Spark's readers pass them over.
+    single object where a list is expected; with `single` such an object is a list of one.  Files of no bytes are skipped, as Spark's readers pass them over.
     """
     nothing = spark.createDataFrame([], f"path string, folder string, file string, content_md5 string, value {schema}, error string")
     reader = spark.read.format("binaryFile")
@@ -49,7 +49,7 @@ def json_files(spark: SparkSession, path: str, schema: str, name: str | None = N
             raise
         return nothing
     text = F.decode("content", "UTF-8")
-    begins = r"^\s*\[" if schema.startswith("array") else r"^\s*\{"
+    begins = r"^\s*[\[{]" if single else r"^\s*\[" if schema.startswith("array") else r"^\s*\{"
     d = files.select("path", F.md5("content").alias("content_md5"), text.alias("text"))
     d = d.withColumn("value", F.when(F.col("text").rlike(begins) & F.col("text").rlike(r"[\]}]\s*\z"), F.from_json("text", schema)))
     whole = F.coalesce(F.to_json(F.from_json("text", F.lit(schema))), F.lit("")) != ""
@@ -65,10 +65,13 @@ def read_chunk_files(spark: SparkSession, path: str, name: str | None = None) ->
 
 
 def read_truth_files(spark: SparkSession, path: str, name: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Annotations as four tables by document (the file's name where it names none), and the files that are none."""
-    files = json_files(spark, path, _struct(TRUTH), name)
+    """Annotations as four tables by document, and the files that are none.
+
+    A file is the annotation of one document (named as the file where it has no name), or a list of them, each with its document's name.
+    """
+    files = json_files(spark, path, f"array<{_struct(TRUTH)}>", name, single=True)
     own = F.coalesce("value.document_id", F.regexp_replace("file", r"\.json$", ""))
-    d = files.where("error is null").select(own.alias("document_id"), "value")
+    d = files.where("error is null").select("file", F.explode("value").alias("value")).select(own.alias("document_id"), "value")
     kinds = {"articles": "articles", "tables": "tables", "cross_refs": "cross_references", "footnotes": "footnotes"}
     return {k: d.select("document_id", F.explode(f"value.{c}").alias("x")).select("document_id", "x.*") for k, c in kinds.items()}, files.where("error is not null").drop("value")
 
@@ -96,10 +99,10 @@ def read_page_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return rows.select("source_id", "p.page", F.coalesce("p.content", F.lit("")).alias("content"), either("p.processing_time_ms", "p.processing_time_seconds").alias("ms")), documents
 
 
-def write_files(df: DataFrame, path: str, value: Column) -> None:
-    """One file for each row: the value as JSON.  Written again, the folder holds the same files' contents and no others."""
+def write_files(df: DataFrame, path: str, value: Column, mode: str = "overwrite") -> None:
+    """One file for each row: the value as JSON.  Written again, the folder holds the same files' contents and no others; with mode "append" those that it has stay."""
     rows = df.select((F.to_json(value, {"ignoreNullFields": "false"})).alias("value"))
-    rows.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    rows.write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 def write_results(individual: DataFrame, aggregated: DataFrame, path: str, order: list[str], rounding: dict[str, int] | None = None) -> None:

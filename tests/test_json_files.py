@@ -65,3 +65,24 @@ def test_results_written_again_are_the_same(spark, tmp_path):
     assert lines() == first == {"individual": ['{"model":"m","query_id":1,"score":null}', '{"model":"m","query_id":2,"score":0.12}'], "aggregated": ['{"model":"m","avg":0.5}']}
     read, _ = jf.read_results(spark, f"{tmp_path}/out", "model string, query_id int, score double", "model string, avg double")
     assert sorted((r.query_id, r.score) for r in read.collect()) == [(1, None), (2, 0.12)]
+
+
+def test_truth_of_many_documents_in_a_file(spark, tmp_path):
+    put(tmp_path / "many.json", [{"document_id": "a", "articles": [{"number": "1"}]}, {"document_id": "b", "articles": [{"number": "2"}, {"number": "3"}]}])
+    put(tmp_path / "none.json", [])
+    put(tmp_path / "bad.json", '[{"document_id": "c"},')
+    tables, errors = jf.read_truth_files(spark, f"{tmp_path}", "*.json")
+    assert sorted((r.document_id, r.number) for r in tables["articles"].collect()) == [("a", "1"), ("b", "2"), ("b", "3")]
+    assert [r.file for r in errors.collect()] == ["bad.json"]
+
+
+def test_files_get_more_and_not_longer(spark):
+    """No file holds more documents than another size of table would give it, and those of an article are with its document's."""
+    from pyspark.sql import functions as F
+
+    from regspark.plans import file_queries as fq
+
+    docs = spark.range(40_000).select(F.concat(F.lit("doc"), "id").alias("source_id"), F.concat(F.lit("doc"), "id", F.lit(":Article 3")).alias("src"))
+    files = docs.select("*", fq._bundle().alias("one"), fq._bundle("src").alias("two"))
+    assert files.where("one <> two").count() == 0
+    assert files.groupBy("one").count().agg(F.max("count")).first()[0] == fq.IN_FILE
