@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..sources import json_files as jf
-from ..sources.tables import new_folder
+from ..sources.tables import new_folder, stored
 from .common import Area
 from .corpus import CHUNKS, GRAPH, LEGAL, SPANS, view, with_
 from .graph_queries import Graph
@@ -92,7 +92,7 @@ def load_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'aggregated', model, '', precision_at_5, reciprocal_rank, avg_latency_ms FROM (SELECT model, {_MEANS} FROM paid GROUP BY 1)"""
 )
 def save_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, paid = new_folder(spark, "results"), _paid(spark, sf_dir)
+    folder, paid = new_folder(spark, "results"), stored(_paid(spark, sf_dir), "paid")  # four steps read it
     for _ in range(2):  # written again, it is the same
         jf.write_results(paid, ev.retrieval_summary(paid), folder, ["model", "query_id"], {"latency_ms": 1, "cost_usd": 8})
     one, all_ = jf.read_results(

@@ -174,3 +174,52 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.chunk_id, r.text) for r in chunk_table(spark, f"{tmp_path}/out").read().collect()}
     want = {(r.chunk_id, r.text) for r in chunk_corpus(first.where("source_id = 'b'").unionByName(second)).collect()}
     assert got == want
+
+
+def test_lsh_moves_no_pairs(spark):
+    """What the search shuffles are the k best of a query and a pack: the plan has no exchange below the product, and every candidate counts."""
+    r = [[float((7 * i + 3 * j * j) % 11 - 5) for j in range(6)] for i in range(300)]
+    c = spark.createDataFrame([(i, v) for i, v in enumerate(r)] + [(900, r[0]), (901, [0.0] * 6), (902, None)], "chunk_id long, vec array<double>")
+    q = c.where("chunk_id % 60 = 0 and chunk_id < 300").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    found = se.top_k_lsh(q, c, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert sorted((x.query_id, x.chunk_id) for x in found.collect()) == sorted((x.query_id, x.chunk_id) for x in se.top_k(q, c, 5).collect())
+
+
+def test_first_relevant_rows_have_their_rank_among_all(spark):
+    """Equal vectors wherever they stand are ties by id, and a first hit far behind the k best has its own rank."""
+    import numpy as np
+
+    r = np.random.RandomState(3)
+    v = [r.normal(size=7).tolist() for _ in range(200)]
+    rows = [(i, v[i % 150], (0 if i % 150 in (0, 50, 149) else 1) if i != 100 else None) for i in range(200)]
+    c = spark.createDataFrame(rows, "chunk_id long, vec array<double>, label int").repartition(7)
+    q = spark.createDataFrame([rows[i] for i in (0, 50, 100, 30)], "query_id long, query_vec array<double>, query_label int")
+    m = np.array([x[1] for x in rows], np.float32).astype(float)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = se.first_relevant(q, c, 4).collect()
+    for i in (0, 50, 100, 30):
+        order = sorted((j for j in range(200) if j != i), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))
+        hits = [n for n, j in enumerate(order, 1) if rows[j][2] is not None and rows[j][2] == rows[i][2]]
+        mine = sorted((x["rank"], x.relevant) for x in got if x.query_id == i)
+        assert mine == sorted({(n, n in hits) for n in range(1, 5)} | {(n, True) for n in hits[:1]})
+
+
+def test_equal_vectors_have_equal_similarities_in_any_pack(spark):
+    import numpy as np
+
+    r = np.random.RandomState(5)
+    m = r.normal(size=(3000, 64)).astype(np.float32).astype(float)
+    m[2999] = m[1500] = m[0]
+    s = se.exact_cosines(m[:5], m)
+    alone = se.exact_cosines(m[:5], m[1500:1501])
+    assert (s[:, 0] == s[:, 2999]).all() and (s[:, 0] == s[:, 1500]).all() and (s[:, 0] == alone[:, 0]).all()
+    total = 0.0
+    for a, b in zip(m[1], m[7], strict=True):
+        total += a * b
+    squares = [0.0, 0.0]
+    for k, i in enumerate((1, 7)):
+        for a in m[i]:
+            squares[k] += a * a
+    assert s[1, 7] == total / np.sqrt(squares[0] * squares[1])
