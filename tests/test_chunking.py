@@ -90,3 +90,16 @@ def test_scalars(spark):
     ).first()
     assert r.norm == "hello world a-b é" and r.id == str(uuid.uuid5(uuid.NAMESPACE_DNS, "x:1")) and r.refs == "Art. 9a|Article 6(1) point (a)"
     assert (r.num, r.tokens, r.foot, r.cut) == ("9a", 5, True, "abc...")
+
+
+def test_headings_in_the_last_characters_whatever_parts_they_are_in(spark):
+    """A heading counts within 500 characters before an article, be these one part, a few or many."""
+    for n, size in ((2, 600), (6, 150), (40, 20), (200, 0)):
+        lines = ["CHAPTER I"] + [f"Article {i}" + " " + "x" * size for i in range(1, n + 1)]
+        text = "\n".join(lines)
+        d = spark.createDataFrame([("s", text)], "source_id string, full_text string")
+        got = [r.chapter for r in ch.headed_spans(d).select(F.explode("_spans").alias("s")).select("s.chapter").collect()]
+        assert len(got) == n and got[0] == "CHAPTER I" and set(got) == {"CHAPTER I"}
+    late = "CHAPTER I\n" + "y" * 495 + "\nArticle 1 text\nCHAPTER II\nArticle 2 z"
+    d = spark.createDataFrame([("s", late)], "source_id string, full_text string")
+    assert [r.chapter for r in ch.headed_spans(d).select(F.explode("_spans").alias("s")).select("s.chapter").collect()] == [None, "CHAPTER II"]

@@ -1,6 +1,7 @@
 """The full graph, its context nodes and the prompt made of it, on a small graph with known answers."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from regspark.operators import context as cx
 from regspark.operators import graph as g
@@ -125,3 +126,25 @@ def test_a_table_is_made_once_for_a_version(spark, tmp_path):
     spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t")
     new = src.version(spark, f"{tmp_path}/t")
     assert new != of and src.stored_once(spark, "plus", new, build).count() == 5 and len(made) == 2
+
+
+def test_repeated_duties_of_one_response_are_one(spark):
+    """The last of equal beginnings counts, and a node table may take such ids as unique without moving rows."""
+    said = '[{"description": "%s first"}, {"description": "other"}, {"description": " %s last", "type": "right"}]' % ("x" * 50, "x" * 50)
+    rows = spark.createDataFrame([("eu:Article 1", "eu", "Article 1", f" \n```json\n{said}\n``` \n"), ("eu:Article 2", "eu", "Article 2", said + "\n```")], "article_node_id string, source_id string, article_label string, response string")
+    duties = g.obligations(rows)
+    assert sorted((r.article_label, r.description[50:], r.obligation_type) for r in duties.collect()) == [(a, d, t) for a in ("Article 1", "Article 2") for d, t in (("", "obligation"), (" last", "right"))]
+    docs = spark.createDataFrame([("eu", "EU law")], "source_id string, title string")
+    nodes = spark.createDataFrame([], ARTICLE)
+    none = g.definitions(spark.createDataFrame([], "source_id string, article string, chunk_index int, text string"), F.lit(True))
+    both = [g.node_table(docs, nodes, none, duties, u).where("kind = 'Obligation'") for u in ((), ("Obligation",))]
+    assert sorted(both[0].collect()) == sorted(both[1].collect()) and both[0].count() == 4
+    assert "Exchange" not in both[1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_built_without_what_nodes_say(spark):
+    from regspark.plans.graph_queries import Graph
+
+    graph = Graph(spark, "/root/testdata/sf0.001")
+    assert sorted(r[0] for r in graph.node_ids.distinct().collect()) == sorted(r[0] for r in graph.nodes.select("node_id").distinct().collect())
+    assert graph.node_ids.columns == ["node_id"]
