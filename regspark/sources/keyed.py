@@ -1,6 +1,6 @@
 """A stored table that is merged by key, batch by batch, at the cost of the batch.
 
-Rows lie in hash buckets of their key, which is never null.  A batch is written beside the table as
+Rows lie in hash buckets of their key, which is never null; a large bucket is written by several tasks, a file each.  A batch is written beside the table as
 a delta, in the buckets that it touches; it replaces all rows of the keys it
 brings, and its tombstones leave keys without rows.  Readers put the base and
 the deltas together: of each key the rows of the last batch that has it, or of
@@ -65,7 +65,7 @@ class KeyedTable:
         if gone is not None:
             left = gone.select(*self.keys).distinct().join(batch.select(*self.keys).distinct(), self.keys, "left_anti")
             rows = rows.unionByName(left.withColumn(GONE, F.lit(True)), allowMissingColumns=True)
-        rows.withColumn(BATCH, F.lit(step).cast("long")).withColumn(BUCKET, self._bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/delta/{step}")
+        rows.withColumn(BATCH, F.lit(step).cast("long")).withColumn(BUCKET, self._bucket()).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/delta/{step}")
         self._commit(step, "batch", [None])
 
     def _schema(self) -> StructType:
@@ -150,6 +150,6 @@ class KeyedTable:
         if not touched:
             return []
         merged = self._merged(None if base is None else base.where(F.col(BUCKET).isin(touched)), delta).where(~F.col(GONE))
-        merged.withColumn("_at", F.lit(step).cast("long")).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/base/{step}")
+        merged.withColumn("_at", F.lit(step).cast("long")).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/base/{step}")
         self._commit(step, "compact", touched)
         return touched
