@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 PIPE_TABLE = r"(?m)((?:^[ \t]*\|[^\n]*\|[ \t]*(?:\n|\z)){2,})"
 HTML_TABLE = r"(?s)<table>.*?</table>"
@@ -41,6 +41,15 @@ def normalised_cells(rows: Column) -> Column:
     return F.transform(rows, lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
 
 
+def own_block(spans: Column) -> list[Column]:
+    """What `blocks` says of a block whose spans (text, size, font, bold) lie in order in one row, so that no row moves: text, font_size, font, bold."""
+    known = lambda name: F.array_compact(spans[name])
+    size = let(known("size"), lambda x: F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, b: a + b.cast("double")), F.size(x)))
+    others = lambda x: F.transform(F.array_distinct(x), lambda f: F.struct(F.size(F.array_remove(x, f)).alias("others"), f.alias("font")))
+    bold = F.try_divide(F.size(F.array_remove(known("bold"), F.lit(False))), F.size(known("bold"))) > 0.5
+    return [F.array_join(spans["text"], "\n").alias("text"), size.alias("font_size"), F.array_min(let(known("font"), others))["font"].alias("font"), bold.alias("bold")]
+
+
 def blocks(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans (keys, span, text, size, font, bold) as blocks: text in order by lines, mean size, modal font, bold if most spans are."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "\n")
