@@ -10,7 +10,8 @@ partition: the example with the largest dot product of a bin's remaining
 capacity with its demand goes in, and where none fits whole, the head of one.
 Examples with equal demand are one class, so a placement looks at classes, not
 rows.  A bin that a limit closes early is cut at a power of two, which needs no
-padding, and what is beyond the cut waits again.
+padding, and what is beyond the cut waits again.  Limits on segments and loss
+that leave too much of a block in such sequences give way for that block.
 Sequences take ids from the task's number, so no row is shuffled.
 """
 
@@ -28,8 +29,10 @@ from .common import bounded_batches, worker_cache
 TOKENIZER = "byte_bpe_50k"
 END = np.uint32(0).tobytes()
 BLOCK_TOKENS = 500_000
-#: Limits of a sequence: tokens, segments, loss-bearing tokens.
+#: Limits of a sequence: tokens, segments, loss-bearing tokens. The last two give way in blocks that can't fill sequences within them (`tried_limits`).
 LIMITS = (1024, 8, 1016)
+#: Tokens of a block outside full sequences, above which its limits give way: a share of its tokens, and so many sequences.
+UNFILLED = (0.05, 2)
 #: Where the loss of a text begins that is no instruction: nowhere.
 PLAIN = 1 << 62
 #: Characters of a text that are encoded at once.
@@ -162,9 +165,41 @@ class Bins:
         self.next += 1
 
 
-def pack_sequences(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, key: str = "doc_id", text: str = "text", prompt_tokens: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+def tried_limits(examples: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+    """LIMITS; then segments enough for short texts, four times as many as full sequences have on average; then no limit on loss, for long answers to short prompts.
+
+    What full sequences can't meet even on average is not tried.
+    """
+    size, segments, loss = LIMITS
+    tokens, free = sum(n for n, _ in examples), sum(start for _, start in examples)
+    enough = max(segments, -(-4 * size * len(examples) // tokens))
+    if size * free >= (size - loss) * tokens:
+        if size * len(examples) <= segments * tokens:
+            yield LIMITS
+        if enough > segments:
+            yield size, enough, loss
+    yield size, enough, size
+
+
+def pack_block(examples: list[tuple[int, int]], first: int, put, limits: tuple[int, int, int] | None = None) -> int:
+    """Place all examples within `limits`, or without any within the first of `tried_limits` that fills sequences; the next sequence's id."""
+    for tried in [limits] if limits else tried_limits(examples):
+        pieces: list[tuple[int, int, int, int, int]] = []
+        bins = Bins(tried, first, lambda *piece, to=pieces: to.append(piece))
+        bins.pack(examples)
+        sizes = np.bincount(np.array([s - first for _, _, _, s, _ in pieces]), [n for _, _, n, _, _ in pieces])
+        if sizes[sizes < tried[0]].sum() <= UNFILLED[0] * sizes.sum() + UNFILLED[1] * tried[0]:
+            break
+    for piece in pieces:
+        put(*piece)
+    return bins.next
+
+
+def pack_sequences(docs: DataFrame, limits: tuple[int, int, int] | None = None, key: str = "doc_id", text: str = "text", prompt_tokens: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """Pack every row's ids (and a closing id 0) into sequences within `limits`: tokens, segments, loss-bearing tokens of instructions.
 
+    Limits given hold as they are; without any these are LIMITS, which give way
+    in a block of which they leave too much outside full sequences.
     `prompt_tokens` names a column with the number of leading tokens that bear
     no loss, null for a text that is no instruction; without it these are the
     tokens of the first line of a text that has more, and other texts are none.  Returns a row per piece: key, start, length, ids_crc32,
@@ -200,10 +235,11 @@ def pack_sequences(docs: DataFrame, limits: tuple[int, int, int] = LIMITS, key:
             for column, value in zip(out, row, strict=True):
                 column.append(value)
 
-        bins = Bins(limits, TaskContext.get().partitionId() << 40, put)
+        sequence_id = TaskContext.get().partitionId() << 40
 
         def flush() -> pa.RecordBatch:
-            bins.pack(examples)
+            nonlocal sequence_id
+            sequence_id = pack_block(examples, sequence_id, put, limits)
             made = pa.RecordBatch.from_arrays(
                 [pa.array(out[0], key_type), *(pa.array(x, pa.int64()) for x in out[1:])], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_loss"]
             )
