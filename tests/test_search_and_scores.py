@@ -160,6 +160,32 @@ def test_cells_find_nine_of_ten_and_compare_a_fifth(spark):
     assert ann.compared(queries, index, to, qq.PROBES) < 0.2 * vectors.count() * queries.count()
 
 
+def test_crowded_cells_are_split(spark):
+    """A close group of three quarters of all rows gets the spare centres, whatever the seed; no row is lost."""
+    from regspark.operators import ann
+
+    r = np.random.RandomState(8)
+    rows = np.vstack([r.normal(size=(400, 16)), np.eye(16)[0] + 0.001 * r.normal(size=(1200, 16))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    corpus = spark.createDataFrame([(f"c{i:04}", x.tolist()) for i, x in enumerate(rows)], "chunk_id string, vec array<double>")
+    queries = corpus.selectExpr("chunk_id AS query_id", "vec AS query_vec")
+    for seed in (1, 2):
+        to = ann.centres(corpus, 64, seed=seed)
+        assert len(to) <= 64 and np.allclose(np.linalg.norm(to, axis=1), 1)
+        index = ann.indexed(corpus, to)
+        assert index.count() == len(rows) and index.groupBy("cell").count().agg({"count": "max"}).first()[0] < 0.25 * len(rows)
+        assert ann.compared(queries, index, to, 1) < 0.2 * len(rows) ** 2
+
+
+def test_spare_centres_go_where_a_centre_has_most_rows():
+    from regspark.operators import ann
+
+    assert ann.shares({0: 100, 1: 10, 2: 31}, 4) == {0: 4, 1: 1, 2: 2}
+    assert ann.shares({3: 1, 4: 2}, 9) == {3: 1, 4: 2} and ann.shares({}, 3) == {}
+    same = np.tile([[0.6, 0.8]], (5, 1))
+    assert np.allclose(ann.split(same, 3), [[0.6, 0.8]])
+
+
 def test_best_of_tiles_are_those_of_all_scores():
     """Nearly equal scores, ties and rows that earlier tiles rule out: the k best by twelve places, then by id."""
     r = np.random.RandomState(6)
