@@ -177,6 +177,19 @@ def test_crowded_cells_are_split(spark):
         assert ann.compared(queries, index, to, 1) < 0.2 * len(rows) ** 2
 
 
+def test_vectors_of_asked_chunks_are_those_stored_and_nothing_is_moved(spark):
+    from regspark.plans import question_queries as qq
+    from regspark.plans.graph_queries import Graph
+
+    graph = Graph(spark, "/root/testdata/sf0.001")
+    asked = qq._asked_chunks(graph)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    ids = {r.chunk_id for r in graph.chunks.where("cast(substr(source_id, 4) as bigint) % 50 = 0").collect()}
+    want = {r.chunk_id: r.vec for r in qq._chunk_vectors(graph)[1].collect() if r.chunk_id in ids}
+    assert want and {r.query_id: r.query_vec for r in asked.collect()} == want and asked.count() == len(want)
+
+
 def test_spare_centres_go_where_a_centre_has_most_rows():
     from regspark.operators import ann
 
