@@ -79,9 +79,10 @@ def scan_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, folder = Graph(spark, sf_dir), new_folder(spark, "obligation_files")
     node = F.struct("node_id", "description", "obligation_type", "source_id", F.lit("").alias("article_label"), "subject")
-    nodes = graph.nodes.where("kind = 'Obligation'").groupBy(_bundle()).agg(F.collect_list(node).alias("obligations"))
-    edges = graph.edges.where("type = 'IMPOSES'").groupBy(_bundle("src")).agg(F.collect_list(F.struct(F.col("src").alias("article_node_id"), F.col("dst").alias("obligation_node_id"))).alias("relationships"))
-    jf.write_files(nodes.join(edges, "b", "full"), folder, F.struct("obligations", "relationships"))
+    edge = F.struct("article_node_id", F.col("node_id").alias("obligation_node_id"))
+    # each obligation has one article, so a document's nodes and edges are in the same rows, and the graph's other tables are not needed
+    files = graph.obligations.groupBy(_bundle()).agg(F.collect_list(node).alias("obligations"), F.collect_list(edge).alias("relationships"))
+    jf.write_files(files, folder, F.struct("obligations", "relationships"))
     found, rels, _ = jf.read_obligation_files(spark, folder, "*.txt")
     said = found.select("node_id", "obligation_type", F.md5("description").alias("description_md5"))
     return rels.join(said, F.col("obligation_node_id") == F.col("node_id")).select("article_node_id", "node_id", "obligation_type", "description_md5")
