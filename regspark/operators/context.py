@@ -37,11 +37,11 @@ def evidence(hits: DataFrame) -> DataFrame:
 IN_PROMPT, IN_EVIDENCE = {"obligations": 5, "references": 10, "definition": 200, "obligation": 150}, {"obligations": 5, "references": 8, "definition": 120, "obligation": 120}
 
 
-def article_parts(refs: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
+def article_parts(refs: DataFrame, edges: DataFrame, nodes: DataFrame, limits: dict[str, int] = IN_PROMPT) -> DataFrame:
     """(ref, definitions, n_obligations, obligations, n_references, references) of the articles `refs` (ref) that exist.
 
-    Definitions are all there, by id; obligations and references are the first `most`: obligations by id, references
-    as the ends of their edges, outgoing ones by id, then incoming ones.  The limit holds before rows are moved
+    Definitions are all there, by id; obligations and references are the first that `limits` allow: obligations by id, references
+    as the ends of their edges, outgoing ones by id, then incoming ones.  Texts are as long as `limits` say.  All limits hold before rows are moved
     (a limit inside the window, per article and kind), so an article that all others refer to stays small.
     """
     known = refs.select("ref").distinct().join(nodes.where("kind = 'Article'").select(F.col("node_id").alias("ref")), "ref", "left_semi")
@@ -50,8 +50,15 @@ def article_parts(refs: DataFrame, edges: DataFrame, nodes: DataFrame, most: int
     around = out.unionByName(into).join(known, "ref", "left_semi")
     counts = around.groupBy("ref").agg(F.count_if(F.col("type") == "IMPOSES").alias("n_obligations"), F.count_if(F.col("type") == "REFERENCES").alias("n_references"))
     order = Window.partitionBy("ref", "type").orderBy("way", "other")
-    first = around.where("type <> 'DEFINES'").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r").unionByName(around.where("type = 'DEFINES'"))
-    shown = first.join(nodes.select(F.col("node_id").alias("other"), "term", "definition_text", "description", "obligation_type"), "other")
+    most = max(limits["obligations"], limits["references"])
+    few = around.where("type <> 'DEFINES'").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    few = few.where(F.col("_r") <= F.when(F.col("type") == "IMPOSES", limits["obligations"]).otherwise(limits["references"])).drop("_r")
+    # a reference is shown by its ends, which exist, so only what says something is looked up
+    texts = nodes.where("kind in ('Definition', 'Obligation')").select(
+        F.col("node_id").alias("other"), "term", F.substring("definition_text", 1, limits["definition"]).alias("definition_text"), F.substring("description", 1, limits["obligation"]).alias("description"), "obligation_type"
+    )
+    told = few.where("type = 'IMPOSES'").unionByName(around.where("type = 'DEFINES'")).join(texts, "other")
+    shown = told.unionByName(few.where("type = 'REFERENCES'"), allowMissingColumns=True)
     of = lambda kind, *c: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct(*c))))
     lists = shown.groupBy("ref").agg(
         of("DEFINES", "other", "term", "definition_text").alias("definitions"), of("IMPOSES", "other", "obligation_type", "description").alias("obligations"),
@@ -89,7 +96,7 @@ def graph_items(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFra
     A seed without a node, or without any of these, gives no item.  Each article's text is made once, whoever asks for it.
     """
     asked = seeds.select("ref").distinct()
-    own = article_parts(asked, edges, nodes).select("ref", F.lit(0).alias("kind"), F.lit("").alias("other"), article_section().alias("text"))
+    own = article_parts(asked, edges, nodes, IN_PROMPT).select("ref", F.lit(0).alias("kind"), F.lit("").alias("other"), article_section().alias("text"))
     equal = edges.where("type = 'EQUIVALENT_TO'")
     twins = equal.select(F.col("src").alias("ref"), F.col("dst").alias("other")).unionByName(equal.select(F.col("dst").alias("ref"), F.col("src").alias("other"))).distinct()
     named = F.concat(F.lit("\n[Cross-jurisdictional equivalent: "), "ref", F.lit(" ↔ "), "other", F.lit("]"))

@@ -152,7 +152,7 @@ def graph_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def article_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, most = Graph(spark, sf_dir), cx.IN_EVIDENCE
-    d = cx.article_parts(graph.articles.select(F.col("node_id").alias("ref")), graph.edges, graph.nodes)
+    d = cx.article_parts(graph.articles.select(F.col("node_id").alias("ref")), graph.edges, graph.nodes, most)
     shown = F.array_join(F.transform(F.slice("obligations", 1, most["obligations"]), lambda x: F.concat(x["other"], F.lit("|"), F.substring(x["description"], 1, most["obligation"]))), "\n")
     return d.select(
         "ref", F.coalesce(F.size("definitions").cast("long"), F.lit(0)).alias("n_definitions"), "n_obligations", F.md5(F.coalesce(shown, F.lit(""))).alias("shown_md5"), "n_references",
